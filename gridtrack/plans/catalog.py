@@ -1,3 +1,567 @@
-"""Registry of the engine's queries."""
+"""Registry of the engine's queries: operators over fields made from the test tables, and the same in SQL."""
 
-QUERIES, ORACLES, FLAGSHIP = {}, {}, ""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import exchange, healpix, kernels, linking, objects, spectral, stencil
+from ..operators import tracks as T
+from ..sources import fields, formats
+
+QUERIES, ORACLES = {}, {}
+FLAGSHIP = "simple_link_stats"
+D, S = fields.DENSE, fields.SPARSE
+
+# Fields of the test tables in SQL.
+G = """g AS (SELECT t, i, j, -70.0::DOUBLE + 20.0::DOUBLE * i AS lat, 45.0::DOUBLE * j AS lon, v FROM (
+  SELECT vec_id AS t, ((p - 1) // 8)::INT AS i, ((p - 1) % 8)::INT AS j, embedding[p]::DOUBLE AS v FROM embeddings, range(1, 65) r(p)))"""
+H = """g AS (SELECT t, i, j, -67.5::DOUBLE + 15.0::DOUBLE * i AS lat, 24.0::DOUBLE * j AS lon, v FROM (
+  SELECT epoch_us(ts) // 21600000000 AS t, ((user_id % 150) // 15)::INT AS i, (user_id % 15)::INT AS j, max(value) AS v FROM events GROUP BY 1, 2, 3))"""
+E = """e AS (SELECT user_id AS track_id, event_id AS pos, epoch_us(ts) AS us, (event_id * 37 % 1700) / 10.0::DOUBLE - 85 AS lat,
+  (event_id * 91 % 3600) / 10.0::DOUBLE AS lon, value AS v FROM events)"""
+KM = 6371.22
+
+
+def _arc(a: str, b: str, c: str, d: str) -> str:
+    return f"acos(greatest(-1, least(1, sin(radians({a})) * sin(radians({c})) + cos(radians({a})) * cos(radians({c})) * cos(radians({d} - {b})))))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# Filters
+
+
+@query(f"WITH {G} SELECT t, i, j, v FROM g WHERE t BETWEEN 10 AND 40")
+def time_range_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.time_range(fields.dense_cells(spark, sf), 10, 40).select("t", "i", "j", "v")
+
+
+@query(f"WITH {H} SELECT t, i, j, v FROM g WHERE t IN (SELECT DISTINCT t FROM g ORDER BY t LIMIT 20)")
+def first_n_steps(spark, sf):
+    return fields.first_steps(fields.sparse_cells(spark, sf), 20).select("t", "i", "j", "v")
+
+
+@query(f"WITH {G} SELECT t, i, j, v FROM g WHERE v <= -0.1")
+def threshold_mask_min(spark, sf):
+    return stencil.threshold_mask(fields.dense_cells(spark, sf), -0.1).select("t", "i", "j", "v")
+
+
+@query(f"WITH {G} SELECT t, i, j, v FROM g WHERE v >= 0.1")
+def threshold_mask_max(spark, sf):
+    return stencil.threshold_mask(fields.dense_cells(spark, sf), 0.1, "max").select("t", "i", "j", "v")
+
+
+@query(f"WITH {G} SELECT arg_min(lat, i) > arg_max(lat, i) AS descends FROM g")
+def latitude_order(spark, sf):
+    return fields.latitude_descends(fields.dense_cells(spark, sf))
+
+
+# Preprocessing
+
+
+@query(f"""WITH {G}, w AS (SELECT *, least(i, 7 - i) AS a, least(j, 7 - j) AS b FROM g)
+SELECT t, i, j, round(v * CASE WHEN a < 3 THEN (1 - cos(pi() * a / 3)) / 2 ELSE 1 END * CASE WHEN b < 3 THEN (1 - cos(pi() * b / 3)) / 2 ELSE 1 END, 9) AS v FROM w""")
+def taper_mask(spark, sf):
+    c = fields.dense_cells(spark, sf)
+    return c.select("t", "i", "j", F.round(F.col("v") * geo.cosine_weight("i", 8, 3) * geo.cosine_weight("j", 8, 3), 9).alias("v"))
+
+
+@query(f"""WITH {G} SELECT t, i, j, round(v * CASE WHEN least(i, 7 - i) < 3 THEN (1 - cos(pi() * least(i, 7 - i) / 3)) / 2 ELSE 1 END
+  * CASE WHEN least(j, 7 - j) < 3 THEN (1 - cos(pi() * least(j, 7 - j) / 3)) / 2 ELSE 1 END, 9) AS v FROM g""")
+def taper_frames(spark, sf):
+    frames = spectral.taper(fields.to_frames(fields.dense_cells(spark, sf), D), (8, 8), 3)
+    return fields.to_cells(frames, D).select("t", "i", "j", F.round("v", 9).alias("v"))
+
+
+@query()
+def spectral_band_pass(spark, sf):
+    frames = spectral.spectral_filter(fields.to_frames(fields.dense_cells(spark, sf), D), (8, 8), 1, 3)
+    return _round(fields.to_cells(frames, D).select("t", "i", "j", "v"), "v")
+
+
+@query()
+def spectral_regrid(spark, sf):
+    frames = fields.to_frames(fields.dense_cells(spark, sf), D)
+    out = spectral.map_frames(frames, lambda f: spectral.regrid(f, 11, 20, 3), (8, 8))
+    return _round(fields.to_cells(out, fields.Grid(11, 20, 90.0, -18.0, 0.0, 18.0)).select("t", "i", "j", "v"), "v")
+
+
+@query()
+def spectral_to_healpix(spark, sf):
+    out = spectral.map_frames(fields.to_frames(fields.dense_cells(spark, sf), D), lambda f: spectral.to_healpix(f, 2, 3), (8, 8))
+    return _round(out.select("t", F.posexplode("vals").alias("pixel", "v")), "v")
+
+
+@query()
+def spectral_to_stereo(spark, sf):
+    out = spectral.map_frames(fields.to_frames(fields.dense_cells(spark, sf), D), lambda f: spectral.to_polar_stereo(f, extent=(-4000, 4000, -4000, 4000), resolution=1000, lmax=3), (8, 8))
+    return _round(out.select("t", F.posexplode("vals").alias("p", "v")), "v")
+
+
+@query()
+def vorticity_divergence(spark, sf):
+    u = fields.to_frames(fields.dense_cells(spark, sf), D)
+    w = spectral.wind_frames(u, u.select("t", F.reverse("vals").alias("vals")), (8, 8), radius=1.0)
+    return _round(w.select("t", F.posexplode(F.arrays_zip("divergence", "vorticity")).alias("p", "x")).select("t", "p", "x.divergence", "x.vorticity"), "divergence", "vorticity")
+
+
+# Detection on cells
+
+_NEAR = "o(d) AS (SELECT unnest(range(-2, 3)))"
+
+
+def _square(field: str, n: int) -> str:
+    """Cells of the field with the 24 cells around each, columns wrapped."""
+    return f"""{field}, {_NEAR}, sq AS (
+  SELECT c.t, c.i, c.j, c.lat, c.lon, c.v, n.v AS nv FROM g c CROSS JOIN o a CROSS JOIN o b
+  LEFT JOIN g n ON n.t = c.t AND n.i = c.i + a.d AND n.j = (c.j + b.d + {n}) % {n})"""
+
+
+def _extrema(field: str, rows: int, n: int, mode: str, threshold: float) -> str:
+    s = "" if mode == "min" else "-"
+    return f"""{_square(field, n)}, ex AS (
+  SELECT t, i, j, any_value(lat) AS lat, any_value(lon) AS lon, any_value(v) AS v FROM sq WHERE i BETWEEN 2 AND {rows - 3}
+  GROUP BY t, i, j HAVING count(*) FILTER (WHERE {s}nv < {s}v) = 0
+  AND coalesce(list_sort(list({s}nv) FILTER (WHERE nv IS NOT NULL))[9], 'inf'::DOUBLE) - any_value({s}v) > {threshold})"""
+
+
+@query(f"WITH {_square(G, 8)} SELECT t, i, j, min(nv) AS low FROM sq GROUP BY t, i, j")
+def sliding_min(spark, sf):
+    return stencil.sliding_min(fields.dense_cells(spark, sf), D, 5).select("t", "i", "j", "low")
+
+
+@query(f"WITH {_extrema(G, 8, 8, 'min', 0.05)} SELECT t, i, j, v FROM ex")
+def extrema_min(spark, sf):
+    return stencil.extrema(fields.dense_cells(spark, sf), D, 5, 0.05).select("t", "i", "j", "v")
+
+
+@query(f"WITH {_extrema(G, 8, 8, 'max', 0.05)} SELECT t, i, j, v FROM ex")
+def extrema_max(spark, sf):
+    return stencil.extrema(fields.dense_cells(spark, sf), D, 5, 0.05, "max").select("t", "i", "j", "v")
+
+
+@query(f"WITH {_extrema(H, 10, 15, 'min', 0.0)} SELECT t, i, j, v FROM ex")
+def extrema_sparse(spark, sf):
+    return stencil.extrema(fields.sparse_cells(spark, sf), S).select("t", "i", "j", "v")
+
+
+def _laplace(rows: int, n: int) -> str:
+    return f"""lap AS (SELECT c.t, c.i, c.j, c.lat, c.lon, c.v,
+  CASE WHEN count(n.v) < 4 THEN 'inf'::DOUBLE ELSE sum(n.v) - 4 * c.v END AS lap
+  FROM ex c CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) q(a, b)
+  LEFT JOIN g n ON n.t = c.t AND n.i = (c.i + a + {rows}) % {rows} AND n.j = (c.j + b + {n}) % {n} GROUP BY c.t, c.i, c.j, c.lat, c.lon, c.v)"""
+
+
+@query(f"WITH {_extrema(G, 8, 8, 'min', 0.0)}, {_laplace(8, 8)} SELECT t, i, j, round(lap, 9) AS lap FROM lap")
+def laplacian_masked(spark, sf):
+    c = fields.dense_cells(spark, sf)
+    return _round(stencil.laplacian(stencil.extrema(c, D), c, D).select("t", "i", "j", "lap"), "lap", digits=9)
+
+
+def _dedup(n: int) -> str:
+    return f"""dd AS (SELECT * FROM lap c WHERE lap <> 0 AND NOT EXISTS (SELECT 1 FROM lap o WHERE o.t = c.t AND o.lap <> 0 AND abs(o.i - c.i) <= 2
+  AND least((o.j - c.j + {n}) % {n}, (c.j - o.j + {n}) % {n}) <= 2
+  AND (abs(o.lap) > abs(c.lap) OR (abs(o.lap) = abs(c.lap) AND (o.i, o.j) < (c.i, c.j)))))"""
+
+
+@query(f"WITH {_extrema(H, 10, 15, 'min', 0.0)}, {_laplace(10, 15)}, {_dedup(15)} SELECT t, i, j, v FROM dd")
+def dedup_centers(spark, sf):
+    c = fields.sparse_cells(spark, sf)
+    return stencil.drop_duplicates(stencil.laplacian(stencil.extrema(c, S), c, S), S).select("t", "i", "j", "v")
+
+
+_SIMPLE = f"WITH {_extrema(G, 8, 8, 'min', 0.0)}, {_laplace(8, 8)}, {_dedup(8)}"
+
+
+@query(f"{_SIMPLE} SELECT t, (row_number() OVER (PARTITION BY t ORDER BY i, j) - 1)::INT AS c_idx, i, j, lat, lon, v FROM dd")
+def simple_detect(spark, sf):
+    return stencil.simple_detect(fields.dense_cells(spark, sf), D)
+
+
+@query(f"{_SIMPLE} SELECT t, (row_number() OVER (PARTITION BY t ORDER BY i, j) - 1)::INT AS c_idx, lat, lon, v FROM dd")
+def simple_detect_frames(spark, sf):
+    frames = fields.to_frames(fields.dense_cells(spark, sf), D)
+    return kernels.detect_frames(frames, (8, 8), -70 + 20.0 * _range(8), 45.0 * _range(8))
+
+
+def _range(n: int):
+    import numpy as np
+
+    return np.arange(n)
+
+
+@query(f"{_SIMPLE} SELECT t, count(d.v) AS n FROM (SELECT DISTINCT t FROM g) LEFT JOIN dd d USING (t) GROUP BY t")
+def step_counts(spark, sf):
+    c = fields.dense_cells(spark, sf)
+    return stencil.steps(c, stencil.simple_detect(c, D))
+
+
+_OBJECTS = f"""WITH RECURSIVE {G}, m AS MATERIALIZED (SELECT *, i * 8 + j AS p FROM g WHERE v >= 0.1), adj AS MATERIALIZED (
+  SELECT a.t, a.p, b.p AS q FROM m a JOIN m b ON a.t = b.t AND abs(a.i - b.i) <= 1 AND least((a.j - b.j + 8) % 8, (b.j - a.j + 8) % 8) <= 1
+), r(t, p, low) AS (SELECT t, p, p FROM m UNION SELECT adj.t, adj.q, r.low FROM r JOIN adj ON r.t = adj.t AND r.p = adj.p AND r.low < adj.q
+), k AS (SELECT t, p, min(low) AS low FROM r GROUP BY t, p), ob AS (
+  SELECT m.t, m.i, m.j, m.lat, m.lon, m.v, (dense_rank() OVER (PARTITION BY m.t ORDER BY k.low))::INT AS label FROM m JOIN k USING (t, p))"""
+
+
+def _labelled(spark, sf):
+    return objects.label_objects(stencil.threshold_mask(fields.dense_cells(spark, sf), 0.1, "max"), D)
+
+
+@query(f"{_OBJECTS} SELECT t, i, j, label FROM ob")
+def object_labels(spark, sf):
+    return _labelled(spark, sf).select("t", "i", "j", "label")
+
+
+@query(f"{_OBJECTS} SELECT t, label, count(*) AS n_cells FROM ob GROUP BY t, label")
+def object_sizes(spark, sf):
+    return stencil.object_sizes(_labelled(spark, sf))
+
+
+_OBEX = f"""{_OBJECTS}, o(d) AS (SELECT unnest(range(-2, 3))), big AS (SELECT *, count(*) OVER (PARTITION BY t, label) AS n FROM ob), oe AS (
+  SELECT c.t, c.i, c.j, any_value(c.lat) AS lat, any_value(c.lon) AS lon, any_value(c.v) AS v, any_value(c.label) AS label
+  FROM big c CROSS JOIN o a CROSS JOIN o b JOIN g n ON n.t = c.t AND n.i = c.i + a.d AND n.j = (c.j + b.d + 8) % 8
+  WHERE c.n >= 2 GROUP BY c.t, c.i, c.j HAVING max(n.v) <= any_value(c.v))"""
+
+
+@query(f"{_OBEX} SELECT t, i, j, v, label FROM oe")
+def object_extrema(spark, sf):
+    return stencil.object_extrema(_labelled(spark, sf), fields.dense_cells(spark, sf), D, 5, "max", 2).select("t", "i", "j", "v", "label")
+
+
+def _refined(source: str) -> str:
+    pick = ", ".join(f"max(n.v) FILTER (WHERE a.d = {a} AND b.d = {b}) AS z{a + 1}{b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1))
+    return f"""h(d) AS (SELECT unnest(range(-1, 2))), zz AS (
+  SELECT c.t, c.i, c.j, c.lat, c.lon, c.v, {pick} FROM {source} c CROSS JOIN h a CROSS JOIN h b
+  LEFT JOIN g n ON n.t = c.t AND n.i = c.i + a.d AND n.j = (c.j + b.d + 8) % 8 GROUP BY c.t, c.i, c.j, c.lat, c.lon, c.v
+), z1 AS (SELECT *, (z12 - z10) / 2 AS fx, (z21 - z01) / 2 AS fy, z12 - 2 * z11 + z10 AS fxx, z21 - 2 * z11 + z01 AS fyy, (z22 - z20 - z02 + z00) / 4 AS fxy FROM zz
+), z2 AS (SELECT *, fyy * fxx - fxy * fxy AS det FROM z1
+), z3 AS (SELECT *, CASE WHEN i BETWEEN 1 AND 6 AND abs(det) >= 1e-10 THEN -(fyy * fx - fxy * fy) / det END AS dx,
+  CASE WHEN i BETWEEN 1 AND 6 AND abs(det) >= 1e-10 THEN -(fxx * fy - fxy * fx) / det END AS dy FROM z2
+), z4 AS (SELECT *, coalesce(abs(dx) <= 1 AND abs(dy) <= 1, false) AS ok FROM z3
+), rf AS (SELECT t, i, j, v, round(CASE WHEN ok THEN lat + dy * 20 ELSE lat END, 6) AS rlat,
+  round(CASE WHEN ok THEN (lon + dx * 45 + 360) % 360 ELSE lon END, 6) AS rlon, round(CASE WHEN ok THEN v + (fy * dy + fx * dx) / 2 ELSE v END, 6) AS rv FROM z4)"""
+
+
+@query(f"{_SIMPLE}, {_refined('dd')} SELECT t, i, j, rlat, rlon, rv FROM rf")
+def subgrid_refine(spark, sf):
+    c = fields.dense_cells(spark, sf)
+    out = stencil.refine(stencil.simple_detect(c, D).select("t", "i", "j", "lat", "lon", "v"), c, D)
+    return _round(out.select("t", "i", "j", "rlat", "rlon", "rv"), "rlat", "rlon", "rv")
+
+
+@query(f"{_OBEX}, {_refined('oe')} SELECT t, (row_number() OVER (PARTITION BY t ORDER BY i, j) - 1)::INT AS c_idx, i, j, rlat, rlon, rv FROM rf")
+def object_detect(spark, sf):
+    out = stencil.object_detect(fields.dense_cells(spark, sf), D, 5, 0.1, "max", 2)
+    return _round(out.select("t", "c_idx", "i", "j", "rlat", "rlon", "rv"), "rlat", "rlon", "rv")
+
+
+@query(f"{_OBEX}, {_refined('oe')} SELECT t, (row_number() OVER (PARTITION BY t ORDER BY i, j) - 1)::INT AS c_idx, rlat, rlon, rv FROM rf")
+def object_detect_frames(spark, sf):
+    frames = fields.to_frames(fields.dense_cells(spark, sf), D)
+    out = kernels.object_frames(frames, (8, 8), -70 + 20.0 * _range(8), 45.0 * _range(8), 5, 0.1, "max", 2)
+    return _round(out.select("t", "c_idx", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), F.col("v").alias("rv")), "rlat", "rlon", "rv")
+
+
+@query()
+def healpix_pixels(spark, sf):
+    theta, phi = healpix.pixel_angles(4)
+    return spark.createDataFrame([(k, round(float(90 - a * 57.29577951308232), 6), round(float(b * 57.29577951308232), 6)) for k, (a, b) in enumerate(zip(theta, phi, strict=True))], "pixel int, lat double, lon double")
+
+
+@query()
+def healpix_detect(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("t"), F.slice("embedding", 1, 48).cast("array<double>").alias("vals"))
+    return _round(healpix.healpix_detect(e, 0.1, "max").select("t", "c_idx", "pixel", "label", "lat", "lon", "v"), "lat", "lon", "v")
+
+
+# Geodesy
+
+_STEPS = f"{E}, s AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM e WINDOW w AS (PARTITION BY track_id ORDER BY us, pos))"
+
+
+def _lagged(spark, sf):
+    return fields.track_points(spark, sf).withColumn("la", F.lag("lat").over(T.by_track())).withColumn("lo", F.lag("lon").over(T.by_track())).where("la is not null")
+
+
+@query(f"WITH {_STEPS} SELECT pos, round({_arc('la', 'lo', 'lat', 'lon')} * {KM}, 3) AS km FROM s WHERE la IS NOT NULL")
+def geod_dist_km(spark, sf):
+    return _lagged(spark, sf).select("pos", F.round(geo.arc_km("la", "lo", "lat", "lon"), 3).alias("km"))
+
+
+@query(f"""WITH {_STEPS} SELECT pos, round(2 * 6367 * asin(sqrt(least(1, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))), 3) AS km FROM s WHERE la IS NOT NULL""")
+def haversine_km(spark, sf):
+    return _lagged(spark, sf).select("pos", F.round(geo.haversine_km("la", "lo", "lat", "lon"), 3).alias("km"))
+
+
+@query(f"WITH {_STEPS} SELECT pos, round(radians(lat - la) * 6367, 6) AS ns, round(radians(lon - lo) * cos(radians((la + lat) / 2)) * 6367, 6) AS we FROM s WHERE la IS NOT NULL")
+def lat_lon_dist(spark, sf):
+    return _lagged(spark, sf).select("pos", F.round(geo.lat_km("la", "lat"), 6).alias("ns"), F.round(geo.lon_km("la", "lo", "lat", "lon"), 6).alias("we"))
+
+
+@query(f"WITH {_STEPS} SELECT pos, round((lon - 400 + 720) % 360, 6) AS a, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS b, round(least(abs(lon - lo), 360 - abs(lon - lo)), 6) AS c FROM s WHERE la IS NOT NULL")
+def lon_normalize(spark, sf):
+    return _lagged(spark, sf).select("pos", F.round(geo.lon360(F.col("lon") - 400), 6).alias("a"), geo.lon180("lon").alias("b"), F.round(geo.lon_gap("lon", "lo"), 6).alias("c"))
+
+
+@query(f"""WITH {E}, a AS (SELECT *, 2 * {KM} * tan(radians(90 - lat) / 2) AS r FROM e WHERE lat > 5)
+SELECT pos, round(r * sin(radians(lon)), 3) + 0.0 AS x, round(-r * cos(radians(lon)), 3) + 0.0 AS y FROM a""")
+def stereo_forward(spark, sf):
+    x, y = geo.latlon_to_stereo("lat", "lon")
+    return fields.track_points(spark, sf).where("lat > 5").select("pos", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
+
+
+@query(f"""WITH {E}, a AS (SELECT pos, lat * 100 + 1 AS x, (lon - 180) * 50 + 1 AS y FROM e)
+SELECT pos, round(90 - degrees(2 * atan(sqrt(x * x + y * y) / (2 * {KM}))), 6) AS lat, round((degrees(atan2(x, -y)) + 360) % 360, 6) AS lon FROM a""")
+def stereo_inverse(spark, sf):
+    lat, lon = geo.stereo_to_latlon(F.col("lat") * 100 + 1, (F.col("lon") - 180) * 50 + 1)
+    return fields.track_points(spark, sf).select("pos", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query(f"""WITH {E}, z(k, lo, hi, s, n, d) AS (VALUES (0, 30.0, 300.0, -90.0, -20.0, 6.5), (1, 0.0, 360.0, -20.0, 20.0, 3.0), (2, 300.0, 60.0, -90.0, 90.0, 9.0)), m AS (
+  SELECT e.pos, z.k, z.d FROM e LEFT JOIN z ON lat BETWEEN s AND n AND CASE WHEN lo <= hi THEN lon BETWEEN lo AND hi ELSE lon >= lo OR lon <= hi END)
+SELECT pos, coalesce(arg_min(d, k), 5.0)::DOUBLE AS dmax FROM m GROUP BY pos""")
+def zone_dmax(spark, sf):
+    return zone_limit(fields.track_points(spark, sf), [[30.0, 300.0, -90.0, -20.0, 6.5], [0.0, 360.0, -20.0, 20.0, 3.0], [300.0, 60.0, -90.0, 90.0, 9.0]], 5.0).select("pos", "dmax")
+
+
+def zone_limit(points: DataFrame, zones: list[list[float]], default: float) -> DataFrame:
+    """``dmax`` of the first zone that holds each point; a handful of zones is part of the expression."""
+    out = None
+    for lo, hi, south, north, limit in zones:
+        lon = F.col("lon").between(lo, hi) if lo <= hi else (F.col("lon") >= lo) | (F.col("lon") <= hi)
+        hit = lon & F.col("lat").between(south, north)
+        out = F.when(hit, F.lit(limit)) if out is None else out.when(hit, F.lit(limit))
+    return points.withColumn("dmax", F.lit(default) if out is None else out.otherwise(F.lit(default)))
+
+
+@query(f"""WITH {E} SELECT pos, round(CASE WHEN d < 1 THEN 1.0 WHEN d < 2 THEN 1.0 - 0.7 * (d - 1) WHEN d < 5 THEN 0.3 - 0.2 / 3 * (d - 2) WHEN d < 8 THEN 0.1 - 0.1 / 3 * (d - 5) ELSE 0.0 END::DOUBLE, 6) AS phimax
+FROM (SELECT pos, v / 50 AS d FROM e)""")
+def adaptive_phimax(spark, sf):
+    return fields.track_points(spark, sf).select("pos", F.round(geo.adaptive_limit(F.col("v") / 50, exchange.ADAPT, 0.5), 6).alias("phimax"))
+
+
+_COST = f"""{E}, l AS (SELECT *, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, lead(lat) OVER w AS a2, lead(lon) OVER w AS o2 FROM e WINDOW w AS (PARTITION BY track_id ORDER BY us, pos)
+), u AS (SELECT *, {_arc('a0', 'o0', 'lat', 'lon')} AS d1, {_arc('lat', 'lon', 'a2', 'o2')} AS d2, {_arc('a0', 'o0', 'a2', 'o2')} AS d3 FROM l WHERE a0 IS NOT NULL AND a2 IS NOT NULL
+), ct AS (SELECT *, CASE WHEN d1 < 1e-12 AND d2 < 1e-12 THEN 0 WHEN d1 < 1e-12 OR d2 < 1e-12 THEN 0.8 ELSE
+  greatest(0.1 * (1 - (cos(d1) * cos(d2) - cos(d3)) / (sin(d1) * sin(d2))) + 0.8 * (1 - 2 * sqrt(d1 * d2) / (d1 + d2)), 0) END AS cost FROM u)"""
+
+
+def _costs(spark, sf):
+    p = fields.track_points(spark, sf)
+    for n, f in (("0", F.lag), ("2", F.lead)):
+        p = p.withColumn(f"a{n}", f("lat").over(T.by_track())).withColumn(f"o{n}", f("lon").over(T.by_track()))
+    p = p.where("a0 is not null and a2 is not null")
+    return p.withColumn("cost", geo.smoothness_cost(("a0", "o0"), ("lat", "lon"), ("a2", "o2")))
+
+
+@query(f"WITH {_COST} SELECT pos, round(cost, 4) AS cost FROM ct WHERE sin(d1) > 0.01 AND sin(d2) > 0.01")
+def smoothness_cost(spark, sf):
+    far = (F.sin(geo.arc("a0", "o0", "lat", "lon")) > 0.01) & (F.sin(geo.arc("lat", "lon", "a2", "o2")) > 0.01)
+    return _costs(spark, sf).where(far).select("pos", F.round("cost", 4).alias("cost"))
+
+
+@query(f"""WITH {_COST}, b AS (SELECT e.track_id, e.pos, e.us, coalesce(cost > 0.35, false) AS brk FROM e LEFT JOIN ct USING (pos))
+SELECT pos, coalesce(sum(brk::INT) OVER (PARTITION BY track_id ORDER BY us, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part FROM b""")
+def smoothness_break(spark, sf):
+    p = fields.track_points(spark, sf).join(_costs(spark, sf).select("pos", "cost"), "pos", "left")
+    before = T.by_track().rowsBetween(Window.unboundedPreceding, -1)
+    return p.select("pos", F.coalesce(F.sum((F.coalesce("cost", F.lit(0.0)) > 0.35).cast("int")).over(before), F.lit(0)).alias("part"))
+
+
+# Linking
+
+_CENTERS = f"{_SIMPLE}, c AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY i, j) - 1 AS k FROM dd)"
+_PAIRS = f"""{_CENTERS}, pr AS (SELECT a.t + 1 AS step, a.k AS ka, b.k AS kb, a.lat AS la, a.lon AS oa, b.lat AS lb, b.lon AS ob,
+  2 * 6367 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS d
+  FROM c a JOIN c b ON b.t = a.t + 1), nr AS (SELECT * FROM pr WHERE d < 2500)"""
+
+
+def _numbered(spark, sf):
+    return stencil.simple_detect(fields.dense_cells(spark, sf), D).select(F.col("t").alias("step"), F.col("c_idx").cast("long").alias("cid"), "lat", "lon")
+
+
+@query(f"{_PAIRS} SELECT step, ka, kb, round(d, 3) AS km FROM nr")
+def nearest_pairs(spark, sf):
+    return linking.step_pairs(_numbered(spark, sf), 2500).select("step", F.col("a").alias("ka"), F.col("b").alias("kb"), F.round("d", 3).alias("km"))
+
+
+@query(f"""{_PAIRS}, q AS (SELECT *, row_number() OVER (PARTITION BY step, ka ORDER BY round(d, 6), lb, ob) AS ra, row_number() OVER (PARTITION BY step, kb ORDER BY round(d, 6), la, oa) AS rb FROM nr)
+SELECT step, ka, kb FROM q WHERE ra = 1 AND rb = 1""")
+def mutual_nearest(spark, sf):
+    pairs = linking.step_pairs(_numbered(spark, sf), 2500).withColumn("d", F.round("d", 6))
+    return linking.mutual_nearest(pairs).select("step", F.col("a").alias("ka"), F.col("b").alias("kb"))
+
+
+def _tracks(spark, sf) -> DataFrame:
+    c = fields.dense_cells(spark, sf)
+    found = stencil.simple_detect(c, D)
+    return linking.link(found, stencil.steps(c, found), 2500)
+
+
+@query()
+def simple_link(spark, sf):
+    return _tracks(spark, sf)
+
+
+@query()
+def simple_link_stats(spark, sf):
+    """Flagship: detect, link, and summarise every track."""
+    points = _tracks(spark, sf).select("track_id", (F.col("t") * 21_600_000_000).alias("us"), F.col("t").alias("pos"), "lat", "lon", "v")
+    return _round(T.statistics(points), "displacement_km")
+
+
+@query()
+def exchange_link(spark, sf):
+    c = fields.time_range(fields.dense_cells(spark, sf), 0, 199)
+    found = stencil.object_detect(c, D, 5, 0.1, "max")
+    found = found.select("t", "c_idx", F.col("rlat").alias("lat"), F.col("rlon").alias("lon"), F.col("rv").alias("v"))
+    rules = exchange.Rules(dmax=40.0, zones=[], adapt=[], phimax=0.9, min_lifetime=2)
+    return _round(exchange.exchange_link(found, c.select("t"), rules, 50), "lat", "lon", "v")
+
+
+@query()
+def spliced_tracks(spark, sf):
+    return T.splice(exchange_link(spark, sf))
+
+
+# Tracks
+
+_STATS = f"""{E}, st AS (SELECT track_id, count(*) AS n_points, min(us) AS first_us, max(us) AS last_us, min(v) AS strength,
+  (max(us) - min(us)) / 3600000000.0::DOUBLE AS duration_h,
+  arg_min(lat, (us, pos)) AS a1, arg_min(lon, (us, pos)) AS o1, arg_max(lat, (us, pos)) AS a2, arg_max(lon, (us, pos)) AS o2 FROM e GROUP BY track_id
+), sx AS (SELECT track_id, n_points, first_us, last_us, strength, duration_h, round({_arc('a1', 'o1', 'a2', 'o2')} * {KM}, 3) AS displacement_km FROM st)"""
+
+
+def _stats(spark, sf, kind="msl"):
+    return _round(T.statistics(fields.track_points(spark, sf), kind), "displacement_km", digits=3)
+
+
+@query(f"WITH {_STATS} SELECT * FROM sx")
+def track_stats(spark, sf):
+    return _stats(spark, sf)
+
+
+@query(f"WITH {E} SELECT count(DISTINCT track_id) AS n_tracks FROM e")
+def track_count(spark, sf):
+    return fields.track_points(spark, sf).agg(F.countDistinct("track_id").alias("n_tracks"))
+
+
+@query(f"""WITH {_STATS} SELECT min(first_us) AS min_us, max(last_us) AS max_us, max(duration_h) AS max_duration, max(displacement_km) AS max_displacement, count(*) AS n_tracks,
+  (SELECT min(v) FROM e) AS min_strength, (SELECT max(v) FROM e) AS max_strength FROM sx""")
+def track_metadata(spark, sf):
+    return _round(T.metadata(fields.track_points(spark, sf)), "max_displacement", digits=3)
+
+
+@query(f"WITH {E} SELECT CASE WHEN median(v) > 500 OR median(v) < -100 THEN 'msl' ELSE 'vo' END AS kind FROM e")
+def infer_type(spark, sf):
+    return T.infer_kind(fields.track_points(spark, sf))
+
+
+@query(f"WITH {E} SELECT pos, CASE WHEN (SELECT max(abs(v * 2)) FROM e) > 500 THEN v * 2 / 100 ELSE v * 2 END AS v FROM e")
+def unit_scale(spark, sf):
+    return T.scale_pressure(fields.track_points(spark, sf).withColumn("v", F.col("v") * 2)).select("pos", "v")
+
+
+@query(f"""WITH {E}, f AS (SELECT track_id, min(us) AS u0, arg_min(lat, (us, pos)) AS a0, arg_min(lon, (us, pos)) AS o0 FROM e GROUP BY track_id
+), k AS (SELECT track_id, row_number() OVER (ORDER BY u0, a0, o0, track_id)::INT AS rank FROM f)
+SELECT e.pos, k.rank, row_number() OVER (PARTITION BY track_id ORDER BY us, e.pos)::INT AS step FROM e JOIN k USING (track_id)""")
+def sort_tracks(spark, sf):
+    return T.sort_tracks(fields.track_points(spark, sf)).select("pos", "rank", "step")
+
+
+@query(f"""WITH {E}, n AS (SELECT track_id, count(*) AS n FROM e GROUP BY track_id HAVING count(*) >= 65), k AS (SELECT track_id, row_number() OVER (ORDER BY track_id) AS new_id FROM n)
+SELECT new_id, pos FROM e JOIN k USING (track_id)""")
+def min_lifetime(spark, sf):
+    return T.min_lifetime(fields.track_points(spark, sf), 65).select("new_id", "pos")
+
+
+@query(f"WITH {_STATS} SELECT pos FROM e WHERE track_id IN (SELECT track_id FROM sx WHERE strength <= 5 AND duration_h >= 600 AND displacement_km >= 5000)")
+def eligible_tracks(spark, sf):
+    return T.eligible(fields.track_points(spark, sf), "msl", 5, 600, 5000).select("pos")
+
+
+@query(f"""WITH {E}, b AS (SELECT *, (abs(lon - lag(lon) OVER (PARTITION BY track_id ORDER BY us, pos)) > 180)::INT AS jump FROM e
+), s AS (SELECT *, coalesce(sum(jump) OVER (PARTITION BY track_id ORDER BY us, pos), 0)::BIGINT AS segment FROM b)
+SELECT pos, segment, round((v + lead(v) OVER (PARTITION BY track_id, segment ORDER BY us, pos)) / 2, 6) AS mean_v FROM s""")
+def antimeridian_segments(spark, sf):
+    return _round(T.segments(fields.track_points(spark, sf)).select("pos", "segment", "mean_v"), "mean_v")
+
+
+@query(f"""WITH {E}, b AS (SELECT *, (us - lag(us) OVER (PARTITION BY track_id ORDER BY us, pos) > 21600000000 * 3)::INT AS gap FROM e)
+SELECT pos, coalesce(sum(gap) OVER (PARTITION BY track_id ORDER BY us, pos), 0)::BIGINT AS part FROM b""")
+def gap_islands(spark, sf):
+    return T.missing_runs(fields.track_points(spark, sf), 21_600_000_000, 2).select("pos", "part")
+
+
+@query(f"""WITH {E}, l AS (SELECT max(track_id) AS m FROM e WHERE track_id < 50)
+SELECT track_id, pos, v, NULL::DOUBLE AS w FROM e WHERE track_id < 50 UNION ALL SELECT track_id + (SELECT m FROM l), pos, NULL, v FROM e WHERE track_id >= 50""")
+def union_missing_vars(spark, sf):
+    p = fields.track_points(spark, sf)
+    a, b = p.where("track_id < 50").select("track_id", "pos", "v"), p.where("track_id >= 50").select("track_id", "pos", F.col("v").alias("w"))
+    return T.union(a, b).select("track_id", "pos", "v", "w")
+
+
+@query(f"WITH {E} SELECT CASE WHEN track_id = 7 THEN 7 ELSE track_id END AS track_id, pos FROM e WHERE track_id <> 7 UNION ALL SELECT 7, pos FROM e WHERE track_id = 8")
+def replace_track(spark, sf):
+    p = fields.track_points(spark, sf)
+    return T.replace_track(p, 7, p.where("track_id = 8")).select("track_id", "pos")
+
+
+@query(f"WITH {E} SELECT DISTINCT track_id, track_id % 3 <> 0 AS equal FROM e")
+def track_equality(spark, sf):
+    p = fields.track_points(spark, sf)
+    return T.differences(p, p.withColumn("v", F.when(F.col("track_id") % 3 == 0, F.col("v") + 1).otherwise(F.col("v"))))
+
+
+@query(f"WITH {E} SELECT DISTINCT track_id AS a, track_id AS b FROM e WHERE track_id % 3 <> 0")
+def compare_tracks(spark, sf):
+    p = fields.track_points(spark, sf)
+    return T.compare(p, p.withColumn("v", F.when(F.col("track_id") % 3 == 0, F.col("v") + 1).otherwise(F.col("v"))))
+
+
+@query(f"""WITH {E}, n AS (SELECT track_id, count(*) AS n FROM e GROUP BY track_id)
+SELECT track_id, (coalesce(sum(n) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + row_number() OVER (ORDER BY track_id) - 1)::BIGINT AS start,
+  (sum(n) OVER (ORDER BY track_id) + row_number() OVER (ORDER BY track_id) - 2)::BIGINT AS "end" FROM n""")
+def json_offsets(spark, sf):
+    return formats.json_offsets(fields.track_points(spark, sf))
+
+
+_NO = f"""{E}, n AS (SELECT track_id, count(*) AS n, row_number() OVER (ORDER BY track_id) AS no FROM e GROUP BY track_id
+), p AS (SELECT e.*, n.n, n.no, row_number() OVER (PARTITION BY track_id ORDER BY us, pos) AS step FROM e JOIN n USING (track_id))"""
+
+
+@query(f"""WITH {_NO}
+SELECT 0 AS no, 0 AS step, '99 00,CycloneNo,StepNo,DateI10,Year,Month,Day,Time,LongE,LatN,MSL' AS line
+UNION ALL SELECT no::INT, 0, '90 ' || no || ' ' || n FROM n
+UNION ALL SELECT no::INT, step::INT, printf('00 %d %d %s %.2f %.2f %.6f', no, step, strftime(make_timestamp(us), '%Y%m%d%H %Y %m %d %H'), CASE WHEN lon > 180 THEN lon - 360 ELSE lon END, lat, v * 0.01) FROM p""")
+def imilast_lines(spark, sf):
+    return formats.imilast_lines(fields.track_points(spark, sf))
+
+
+@query(f"""WITH {_NO}, c AS (SELECT count(*) AS n FROM n)
+SELECT 0 AS no, -3 AS step, '0' AS line UNION ALL SELECT 0, -2, '0 0' UNION ALL SELECT 0, -1, printf('TRACK_NUM %10d ADD_FLD    0   0 &', n) FROM c
+UNION ALL SELECT no::INT, -1, printf('TRACK_ID %2d', no) FROM n UNION ALL SELECT no::INT, 0, printf('POINT_NUM %3d', n) FROM n
+UNION ALL SELECT no::INT, step::INT, printf('%d %10.6f %10.6f %12.6e', step, lon, lat, v) FROM p""")
+def tdump_lines(spark, sf):
+    return formats.tdump_lines(fields.track_points(spark, sf))
+
+
+@query(f"""WITH {E} SELECT user_id % 150 AS u, round(avg(abs(e.lat)), 6) AS mean_lat, round(corr(e.lat, e.v), 6) AS r, round(sqrt(avg(pow(e.lat - e.v, 2))), 6) AS rmse
+FROM e JOIN events x ON x.event_id = e.pos GROUP BY 1""")
+def field_agreement(spark, sf):
+    p = fields.track_points(spark, sf)
+    return p.groupBy((F.col("track_id") % 150).alias("u")).agg(F.round(F.avg(F.abs("lat")), 6).alias("mean_lat"), F.round(F.corr("lat", "v"), 6).alias("r"), F.round(F.sqrt(F.avg(F.pow(F.col("lat") - F.col("v"), 2))), 6).alias("rmse"))
