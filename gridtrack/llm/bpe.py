@@ -67,8 +67,8 @@ def encode_chunk(k: int, n: int, text: str, codec: tuple, chunk: int = CHUNK, ov
     if last:
         inner = enc.encode_ordinary(text[start:])
     else:
-        # the first token start in the right zone
-        at = _start_after(text, start, right_from, split)
+        # the first sure token start in the right zone
+        at = _start_after(text, start, right_from, split) if start <= end - MARGIN else end
         inner = enc.encode_ordinary(text[start:at]) if at > start else []
         while at < end:
             zones["right"][0].append(base + at)
@@ -83,8 +83,9 @@ def encode_chunk(k: int, n: int, text: str, codec: tuple, chunk: int = CHUNK, ov
 
 
 def _start_after(text: str, start: int, goal: int, split: regex.Pattern) -> int:
+    """The first sure token start from ``goal`` on that follows no white space: what ends there is the same cut off."""
     for m in split.finditer(text, start):
-        if m.start() >= goal:
+        if m.start() >= goal and (m.start() == start or not text[m.start() - 1].isspace()):
             return m.start()
         if m.end() > len(text) - MARGIN:
             return len(text)  # one token fills the rest: no start in the zone

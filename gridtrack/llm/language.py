@@ -39,6 +39,9 @@ class ContextTrees:
         self.symbol[own] = np.arange(len(own))
         self.rest = int(256 - len(own))
         a = len(own) + 1
+        if not samples:
+            self.bits, self.row, self.a = np.zeros((1, a, 0), np.float32), np.zeros(a**ORDER, np.int32), a
+            return
         counts = [[self._count(texts, o, a) for o in range(ORDER + 1)] for texts in (samples[x] for x in self.languages)]
         keys = [np.unique(np.concatenate([c[o][0] // a for c in counts])) for o in range(ORDER + 1)]
         if len(keys[ORDER]) > CONTEXTS:
