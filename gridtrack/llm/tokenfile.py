@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Ids after which a shard is closed, and words whose ids a task remembers.
-SHARD_IDS, CACHE = 4_000_000, 400_000
+#: Ids after which a shard is closed, and words whose ids a Python worker remembers.
+SHARD_IDS, CACHE = 4_000_000, 1_000_000
 END = 1
 _HEAD = struct.Struct("<4sIQQQ")
 _SAMPLE = 64
@@ -130,27 +130,46 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_words: dict[str, dict[str, bytes]] = {}
+
+
 class WordEncoder:
-    """Ids of texts as the tokenizer gives them, each distinct word encoded once.
+    """Ids of texts as the tokenizer gives them, each distinct word encoded once for each Python worker.
 
     Holds for tokenizers that drop white space before merging, as this vocabulary's does: no rule then crosses it.
     Texts with an added token's string or with the separators that Unicode and Python see differently go through
-    the tokenizer as a whole.
+    the tokenizer as a whole. Words of ASCII letters are one pre-token and may go to the merges directly, if the
+    tokenizer does that to a probe too.
     """
 
     def __init__(self, path: str):
-        self.tok, self.cache = _tokenizer(path), {}
+        self.tok, self.cache = _tokenizer(path), _words.setdefault(path, {})
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.tok.get_added_tokens_decoder().values())]
+        self.model = self.tok.model
+        probe = ["a", "The", "abcxyz", "Zzzzqj", "internationalisation", "ll", "S"]
+        self.direct = all(self._merge(w) == self._encode(w) for w in probe)
+
+    def _merge(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.odd):
-            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+            return self._encode(text)
         words, cache = text.split(), self.cache
         if len(cache) > CACHE:
             cache.clear()
-        new = [w for w in set(words) if w not in cache]
+        new = set(words).difference(cache)
         if new:
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            rest = []
+            for w in new:
+                if self.direct and w.isascii() and w.isalpha():
+                    cache[w] = self._merge(w)
+                else:
+                    rest.append(w)
+            for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 cache[w] = array("I", e.ids).tobytes()
         return b"".join(map(cache.__getitem__, words))
 
@@ -179,11 +198,11 @@ def write_shards(docs: DataFrame, path: str, end: int = END, shard_ids: int = SH
         for batch in batches:
             for d, t, p in zip(batch["doc_id"], batch["text"], batch["part"], strict=True):
                 part = p
-                x = np.append(np.frombuffer(word_ids(t or ""), np.uint32), np.uint32(end))
+                raw = word_ids(t or "")
                 docs.append(None if pd.isna(d) else int(d))
-                counts.append(len(x))
-                ids.append(x.astype(f"<u{width}").tobytes())
-                total += len(x)
+                counts.append(len(raw) // 4 + 1)
+                ids += (np.frombuffer(raw, np.uint32).astype(f"<u{width}").tobytes(), end.to_bytes(width, "little"))
+                total += counts[-1]
                 if total >= shard_ids:
                     yield close()
                     docs, counts, ids, total, shard = [], [], [], 0, shard + 1
