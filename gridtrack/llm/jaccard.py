@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import components, fresh, materialize
 
 WIDTH, PERCENT = 5, 75
-#: Cells of the frequency sketch (8 MB), in as many parts; postings in a bucket; bits of the filter of documents read again (4 MB).
-CELLS, PARTS, POSTINGS, FILTER_BITS = 1 << 21, 32, 500_000, 1 << 25
+#: Cells of the frequency sketch (16 MB), in as many parts; postings in a bucket; bits of the filter of documents read again (4 MB).
+CELLS, PARTS, POSTINGS, FILTER_BITS = 1 << 22, 32, 100_000, 1 << 25
 #: Lists up to this length are joined at once; longer ones first with one member, then only where that left them apart.
 SHORT = 3
 #: Postings of one token in a bucket before the token's list is dealt over several buckets.
@@ -97,7 +97,7 @@ def _scan(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     scanned = materialize(rows.mapInPandas(run, "doc_id long, n long, sig long, part int, cells binary"), "shingled")
     sketch = np.zeros((PARTS, CELLS // PARTS), np.uint32)
-    for r in scanned.where("part >= 0").select("part", "cells").groupBy("part").applyInPandas(add, "part int, cells binary").collect():  # 8 MB, whatever the input
+    for r in scanned.where("part >= 0").select("part", "cells").groupBy("part").applyInPandas(add, "part int, cells binary").collect():  # 16 MB, whatever the input
         sketch[r["part"]] = np.frombuffer(r["cells"], np.uint32)
     return scanned.where("part < 0").select("doc_id", "n", "sig"), sketch.ravel()
 
@@ -108,7 +108,7 @@ def _postings(rows: DataFrame, sketch: np.ndarray, buckets: int, width: int, per
     The tokens of a set are ordered by their cell's count and then by hash: any such order is right for prefixes,
     and this one leaves frequent shingles out of them.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)  # 8 MB, whatever the input
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, count, seen, held, size = _Words(), shared.value, set(), [], 0
@@ -120,12 +120,14 @@ def _postings(rows: DataFrame, sketch: np.ndarray, buckets: int, width: int, per
             if split.any():  # a list this long is dealt over more buckets by its sets
                 turn = np.where(split > 0, (sig.view(np.uint64) >> np.uint64(20)) % (split.astype(np.uint64) + np.uint64(1)), 0)
                 bucket = (bucket + turn.astype(np.uint64)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((token, bucket))
+            size16 = [x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x for x in (n, pos)]
             ends = np.flatnonzero(np.diff(bucket[order], append=np.uint64(buckets))) + 1
             out = []
             for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
                 at = order[lo:hi]
-                out.append((int(bucket[at[0]]), token[at].tobytes(), sig[at].tobytes(), n[at].tobytes(), pos[at].tobytes()))
+                low, high = token[at].astype(np.uint32), (token[at] >> np.uint64(32)).astype(np.uint16)  # 48 bits of a token tell lists apart
+                out.append((int(bucket[at[0]]), low.tobytes() + high.tobytes(), sig[at].tobytes(), *(x[at].tobytes() for x in size16)))
             return pd.DataFrame(out, columns=["bucket", "token", "sig", "n", "pos"])
 
         for batch in batches:
@@ -149,10 +151,14 @@ def _postings(rows: DataFrame, sketch: np.ndarray, buckets: int, width: int, per
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """(token, a, b, na, nb): with b null, a list member that is to be looked at again; else a pair to verify."""
+    """(token, a, b, na, nb, shared, first, fit): with b null, a list member (na: size, nb: position) that is to be looked at
+    again; else a pair, with the number of short lists that have both, whether ``b`` should come first, and whether
+    sizes and positions let them be similar."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        token, sig, n, pos = (np.frombuffer(b"".join(group[c]), d) for c, d in (("token", np.int64), ("sig", np.int64), ("n", np.int32), ("pos", np.int32)))
+        sig = np.frombuffer(b"".join(group["sig"]), np.int64)
+        n, pos = (np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(y) else np.int32).astype(np.int32) for x, y in zip(group[c], group["sig"], strict=True)]) for c in ("n", "pos"))
+        token = np.concatenate([np.frombuffer(t, np.uint32, len(t) // 6).astype(np.int64) | np.frombuffer(t, np.uint16, offset=len(t) // 6 * 4).astype(np.int64) << 32 for t in group["token"]])
         order = np.lexsort((sig, n, token))
         token, sig, n, pos = token[order], sig[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         keep = np.append(True, (np.diff(token) != 0) | (np.diff(sig) != 0))
@@ -170,54 +176,87 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         for d in range(1, SHORT):
             i = short[short + d < len(token)]
             i = i[token[i] == token[i + d]]
-            i = i[fits(i, i + d)]
             pairs.append((i, i + d))
         long = np.flatnonzero(size > SHORT)
         if len(long):
-            # one member for each run of like sizes, so that it can be similar to the others: the least signature
-            least = np.full(len(token), np.iinfo(np.int64).max)
+            # one member for each run of like sizes, so that it can be similar to the others: the one in which the
+            # token comes first, for copies have rare shingles of their own before those they share with their origin
             step = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
-            run_start = np.flatnonzero(np.append(True, (np.diff(token) != 0) | (np.diff(step) != 0)))
-            least = np.minimum.reduceat(sig, run_start)
-            where = np.repeat(np.arange(len(run_start)), np.diff(np.append(run_start, len(token))))
-            first = np.flatnonzero(sig == least[where])  # one in each run: a list holds a set once
-            pivot = first[where]
+            run_of = np.cumsum(np.append(False, (np.diff(token) != 0) | (np.diff(step) != 0)))
+            order = np.lexsort((sig, pos, run_of))
+            first = order[np.flatnonzero(np.append(True, np.diff(run_of[order]) != 0))]
+            pivot = first[run_of]
             i = long[pivot[long] != long]
+            i = i[fits(pivot[i], i)]
             pairs.append((pivot[i], i))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        out = pd.DataFrame({"a": np.minimum(sig[i], sig[j]), "b": np.maximum(sig[i], sig[j]), "na": np.where(sig[i] < sig[j], n[i], n[j]), "nb": np.where(sig[i] < sig[j], n[j], n[i])}).drop_duplicates()
+        shared = [np.ones(len(p[0]), np.int64) for p in pairs]
+        if len(long):
+            shared[-1][:] = 0
+        i, j, shared = (np.concatenate(x) for x in zip(*[(*p, c) for p, c in zip(pairs, shared, strict=True)], strict=True))
+        fit = fits(i, j)  # holds at the first token that both have, if they are similar
+        turned = sig[i] > sig[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        out = pd.DataFrame({"a": sig[i], "b": sig[j], "na": n[i], "nb": n[j], "shared": shared, "first": turned, "fit": fit}).groupby(["a", "b", "na", "nb"], as_index=False).agg({"shared": "sum", "first": "max", "fit": "max"})
         again = pd.DataFrame({"token": token[long], "a": sig[long], "na": n[long], "nb": pos[long]})
-        return pd.concat([out.assign(token=0), again.assign(b=pd.array([None] * len(again), "Int64"))])[["token", "a", "b", "na", "nb"]]
+        return pd.concat([out.assign(token=0), again.assign(b=pd.array([None] * len(again), "Int64"), shared=0, first=False, fit=False)])[["token", "a", "b", "na", "nb", "shared", "first", "fit"]]
+
+    return postings.groupBy("bucket").applyInPandas(run, "token long, a long, b long, na long, nb long, shared long, first boolean, fit boolean")
+
 
-    return postings.groupBy("bucket").applyInPandas(run, "token long, a long, b long, na long, nb long")
+def _promising(found: DataFrame, again: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of the pairs that share enough prefix tokens to be similar at all.
+
+    Tokens beyond both prefixes are at most the longer rest, so a similar pair has at least need - ceil(t * n) + 1
+    prefix tokens in common, n being the larger size. Short lists count them for a pair; long lists can add no more
+    than either set has there.
+    """
+    pairs = found.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("first").alias("first"), F.max("fit").alias("fit")).where("fit")
+    lists = again.groupBy("a").agg(F.countDistinct("token").alias("l"))
+    pairs = pairs.join(lists.toDF("a", "la"), "a", "left").join(lists.toDF("b", "lb"), "b", "left")
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent)) - F.ceil(F.greatest("na", "nb") * percent / F.lit(100)) + 1
+    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    ends = [F.when(F.col("first"), F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
+    return pairs.where(most >= least).select(*ends)
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sig, members) of the documents in ``wanted`` (doc_id), read again through a filter of fixed size."""
-    spark = rows.sparkSession
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot that an id of ``ids`` (doc_id) falls into."""
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    # at most 2 ** 19 rows reach the driver, whatever the input
-    for r in wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toPandas().itertuples():
+    words = ids.select(_slot().alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
+    for r in words.toPandas().itertuples():  # at most 2 ** 19 rows, whatever the input
         bits[r.w] = np.uint64(int(r.b) & (2**64 - 1))
-    shared = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _slot():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+
+
+def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(sig, members, is_a, is_b): sets of the pairs' ends and of a few others, read again through filters of fixed
+    size. A set may come more than once."""
+    least = F.col("least").alias("doc_id")
+    both = [_bits(classes.join(pairs.select(F.col(c).alias("sig")), "sig", "left_semi").select(least)) for c in "ab"]
+    shared = rows.sparkSession.sparkContext.broadcast(both)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, held = _Words(), shared.value
         for batch in batches:
             s = batch["s"].to_numpy()
-            hit = (held[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
-            sets = [shingles(t, words, width) for t in batch["text"][hit.astype(bool)]]
-            sets = [s for s in sets if len(s)]
-            yield pd.DataFrame({"sig": pd.Series([_sign(s) for s in sets], dtype="int64"), "members": [s.tobytes() for s in sets]})
+            hits = [((h[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool) for h in held]
+            any_hit = hits[0] | hits[1]
+            sets = [shingles(t, words, width) for t in batch["text"][any_hit]]
+            out = pd.DataFrame({"sig": pd.array([_sign(x) for x in sets], "Int64"), "members": [x.tobytes() for x in sets], "is_a": hits[0][any_hit], "is_b": hits[1][any_hit]})
+            yield out[out["sig"].notna()]
 
-    found = rows.where("doc_id is not null").select(slot.alias("s"), "text").mapInPandas(run, "sig long, members binary")
-    return found.dropDuplicates(["sig"])
+    found = rows.where("doc_id is not null").select(_slot().alias("s"), "text")
+    return materialize(found.mapInPandas(run, "sig long, members binary, is_a boolean, is_b boolean"), "sets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) of every pair (a, b, na, nb)."""
-    a, b = sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sig").alias("b"), F.col("members").alias("mb"))
+def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b, na, nb, common) of every pair (a, b, na, nb): the exact size of the intersection."""
+    sets = _sets(rows, classes, pairs, width)
+    a, b = sets.where("is_a").select(F.col("sig").alias("a"), F.col("members").alias("ma")), sets.where("is_b").select(F.col("sig").alias("b"), F.col("members").alias("mb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -228,7 +267,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common.append(int((both[1:] == both[:-1]).sum()))
             yield batch[["a", "b", "na", "nb"]].assign(common=common)
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "ma", "mb").mapInPandas(run, "a long, b long, na long, nb long, common long")
+    # both sides grow with the input: never a broadcast, whatever their size looks like
+    joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "na", "nb", "ma", "mb")
+    return joined.mapInPandas(run, "a long, b long, na long, nb long, common long").distinct()
 
 
 def similar(percent: int = PERCENT):
@@ -257,13 +298,11 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), total * (100 - percent) // 100 // POSTINGS + 1)
     postings = _postings(rows, sketch, buckets, width, percent).repartition(buckets, "bucket")
     found = materialize(_candidates(postings, percent), "candidates")
-    pairs = materialize(found.where("b is not null").select("a", "b", "na", "nb").distinct(), "pairs")
     again = found.where("b is null").select("token", "a", F.col("na").alias("n"), F.col("nb").alias("pos"))
+    pairs = materialize(_promising(found, again, percent), "pairs")
 
-    classes = scanned.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    ends = found.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = materialize(_sets(rows, classes.join(ends, "sig", "left_semi").select(F.col("least").alias("doc_id")), width), "sets")
-    checked = materialize(_verify(pairs, sets), "checked")
+    classes = materialize(scanned.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least")), "least")
+    checked = materialize(_verify(rows, classes, pairs, width), "checked")
     links = checked.where(similar(percent)).select("a", "b")
     group = components(links)
 
@@ -275,11 +314,14 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     x, y = rest.toDF("token", "a", "na", "pa", "ca"), rest.toDF("token", "b", "nb", "pb", "cb")
     least = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))
     open_pairs = x.join(y, "token").where("a < b and ca <> cb").where((F.least("na", "nb") >= least) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least))
-    open_pairs = open_pairs.select("a", "b", "na", "nb").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    open_pairs = open_pairs.select("a", "b", "na", "nb").distinct()
+    known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_pairs = open_pairs.join(known, ["a", "b"], "left_anti")
     derived = materialize(_derive(open_pairs, checked, percent), "derived")
     more = derived.where("sure").select("a", "b")
     left = derived.where("not sure").select("a", "b", "na", "nb")
-    more = more.unionByName(_verify(left, sets).where(similar(percent)).select("a", "b"))
+    if not left.isEmpty():
+        more = more.unionByName(_verify(rows, classes, left, width).where(similar(percent)).select("a", "b"))
     more = materialize(more, "more-links")
     if not more.isEmpty():
         group = components(links.unionByName(more))
