@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrack.llm import bpe, jaccard, language, lines, mixing
-from gridtrack.llm.common import fresh, materialize
+from gridtrack.llm.common import fresh, materialize, tune
 
 #: A document goes if no language was found or the best one has less than this share against the others.
 LEAST_SCORE = 0.5
@@ -18,6 +18,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; models are fitted on this input's own labelled rows."""
+    tune(spark)
     names = fresh(docs.columns, "lang_pred", "score")
     out = language.identify(docs, language.fit(docs), names=tuple(names))
     return out.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).select(*docs.columns)
@@ -25,21 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines."""
+    tune(spark)
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id."""
+    tune(spark)
     return jaccard.keep_one(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of a mix of sources: one row per document and pass, with the words taken."""
+    tune(spark)
     return mixing.Mix(docs).documents(n_chars="n_chars").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE digests of every text."""
+    tune(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/gridtrack-{app}"
 
 
+def tune(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Arrow batches of fewer rows than Spark's default, as rows here are whole texts; a setting of one's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+    return spark
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
