@@ -102,14 +102,12 @@ def _scan(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     return scanned.where("part < 0").select("doc_id", "n", "sig"), sketch.ravel()
 
 
-def _postings(rows: DataFrame, sketch: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, shared, buckets: int, width: int, percent: int) -> DataFrame:
     """Prefix postings, packed by bucket: (bucket, token, sig, n, pos) as arrays of bytes.
 
     The tokens of a set are ordered by their cell's count and then by hash: any such order is right for prefixes,
     and this one leaves frequent shingles out of them.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, count, seen, held, size = _Words(), shared.value, set(), [], 0
 
@@ -250,7 +248,9 @@ def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) ->
             yield out[out["sig"].notna()]
 
     found = rows.where("doc_id is not null").select(_slot().alias("s"), "text")
-    return materialize(found.mapInPandas(run, "sig long, members binary, is_a boolean, is_b boolean"), "sets")
+    out = materialize(found.mapInPandas(run, "sig long, members binary, is_a boolean, is_b boolean"), "sets")
+    shared.destroy()
+    return out
 
 
 def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -296,8 +296,11 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     scanned, sketch = _scan(rows, width)
     total = scanned.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), total * (100 - percent) // 100 // POSTINGS + 1)
-    postings = _postings(rows, sketch, buckets, width, percent).repartition(buckets, "bucket")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
+    del sketch
+    postings = _postings(rows, shared, buckets, width, percent).repartition(buckets, "bucket")
     found = materialize(_candidates(postings, percent), "candidates")
+    shared.destroy()  # what was made with it is written
     again = found.where("b is null").select("token", "a", F.col("na").alias("n"), F.col("nb").alias("pos"))
     pairs = materialize(_promising(found, again, percent), "pairs")
 
