@@ -61,6 +61,35 @@ def _groups(near: np.ndarray) -> np.ndarray:
     return label
 
 
+def _linked(v: np.ndarray, m: np.ndarray, own: np.ndarray, xs: list[bytes], codes: list[bytes], cosine: float, across: bool) -> list[tuple]:
+    """[(ids, links counted here, least id of the group)] of one bucket, or of the pairs across its two blocks."""
+    by_size = {len(x) for x in xs}
+    if len(by_size) > 1:  # lengths differ only where hashes of two lengths collide
+        out = []
+        for size in by_size:
+            at = [k for k, x in enumerate(xs) if len(x) == size]
+            out += _linked(v[at], m[at], own[at], [xs[k] for k in at], [codes[k] for k in at], cosine, across)
+        return out
+    x = np.frombuffer(b"".join(xs)).reshape(len(xs), -1)
+    near = np.empty((len(x), len(x)), bool)
+    for lo in range(0, len(x), 512):
+        near[lo : lo + 512] = x[lo : lo + 512] @ x.T >= cosine
+    near &= near.T
+    np.fill_diagonal(near, False)
+    if across:
+        near &= own[:, None] != own[None, :]
+    hit = np.flatnonzero(near.any(1))
+    if not len(hit):
+        return []
+    near = joined = near[np.ix_(hit, hit)]
+    code = np.frombuffer(b"".join(codes[h] for h in hit), np.uint32).reshape(len(hit), -1)
+    if code.shape[1]:
+        near = near.copy()
+        for t in range(code.shape[1]):
+            near &= code[:, t][:, None] != code[:, t][None, :]
+    return [(v[hit], near @ m[hit], v[hit][_groups(joined)])]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: float = CELL, seed: int = SEED, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``; other columns are ignored.
 
@@ -80,7 +109,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: float = CE
     rows = rows.withColumn("class", F.when(F.col("x").isNotNull(), F.sha2(F.array_join(F.transform("x", lambda c: F.hex(c.cast("string").cast("binary"))), ","), 256)))
     reps = rows.where("x is not null").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("x").alias("x"))
     reps = materialize(reps.withColumn("v", F.xxhash64("class")), "vectors")
-    keys, tables = layout(reps.count(), cosine)
+    n = reps.count()
+    keys, tables = layout(n, cosine)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,36 +127,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: float = CE
     full = materialize(full.where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "buckets")
     part = F.pmod(F.col("v"), F.col("blocks")).cast("int")
     dealt = dealt.join(full, ["t", "bucket"]).withColumn("part", part)
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("many", F.col("blocks") > 1).drop("blocks")
     dealt = dealt.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with"))
 
+    # buckets of one block share a task's call, as many as hold about one block's rows; a fuller bucket's pairs of blocks stay apart
+    slots = max(1, -(-n // BLOCK))
+    dealt = dealt.withColumn("slot", F.when(F.col("many"), F.col("bucket")).otherwise(F.pmod("bucket", F.lit(slots)))).drop("many")
+
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        g = g.sort_values("v", kind="stable").reset_index(drop=True)
-        x = np.stack([np.frombuffer(b) for b in g["x"]])
-        near = np.empty((len(x), len(x)), bool)
-        for lo in range(0, len(x), 512):
-            near[lo : lo + 512] = x[lo : lo + 512] @ x.T >= cosine
-        near &= near.T
-        np.fill_diagonal(near, False)
-        if i != j:
-            own = g["part"].to_numpy()
-            near &= own[:, None] != own[None, :]
-        joined = near
-        hit = np.flatnonzero(near.any(1))
-        if not len(hit):
-            return pd.DataFrame({"v": [], "links": [], "other": []})
-        near = joined = near[np.ix_(hit, hit)]
-        codes = [np.frombuffer(g["codes"][h], np.uint32) for h in hit]
-        if len(codes[0]):
-            codes = np.stack(codes)
-            near = near.copy()
-            for t in range(codes.shape[1]):
-                near &= codes[:, t][:, None] != codes[:, t][None, :]
-        ids, m = g["v"].to_numpy()[hit], g["m"].to_numpy()[hit]
-        return pd.DataFrame({"v": ids, "links": near @ m, "other": ids[_groups(joined)]})
-
-    found = materialize(dealt.groupBy("t", "bucket", "i", "j").applyInPandas(compare, "v long, links long, other long"), "links")
+        g = g.sort_values(["bucket", "v"], kind="stable")
+        v, m, own, bucket = (g[c].to_numpy() for c in ("v", "m", "part", "bucket"))
+        xs, codes = g["x"].to_list(), g["codes"].to_list()
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(g))
+        out = []
+        for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
+            if hi - lo > 1:
+                out += _linked(v[lo:hi], m[lo:hi], own[lo:hi], xs[lo:hi], codes[lo:hi], cosine, key[2] != key[3])
+        return pd.DataFrame(dict(zip(("v", "links", "other"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({"v": [], "links": [], "other": []})
+
+    found = materialize(dealt.groupBy("t", "slot", "i", "j").applyInPandas(compare, "v long, links long, other long"), "links")
     group = components(found.select(F.col("v").alias("a"), F.col("other").alias("b")))
     count = found.groupBy("v").agg(F.sum("links").alias("links"))
     label = reps.select("class", "v", "id", "m").join(count, "v", "left").join(group.withColumnRenamed("id", "v"), "v", "left")
