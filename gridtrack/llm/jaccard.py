@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import components, fresh, materialize
 
 WIDTH, PERCENT = 5, 75
-#: Cells of the frequency sketch (16 MB), in as many parts; postings in a bucket; bits of the filter of documents read again (4 MB).
+#: Cells of the frequency sketch (4 MB, a byte each), in as many parts; postings in a bucket; bits of the filter of documents read again (4 MB).
 CELLS, PARTS, POSTINGS, FILTER_BITS = 1 << 22, 32, 100_000, 1 << 25
 #: Lists up to this length are joined at once; longer ones first with one member, then only where that left them apart.
 SHORT = 3
@@ -22,6 +22,8 @@ SHORT = 3
 LONG = 100_000
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NONE = np.zeros(0, np.uint64)
+#: A cell's byte is 8 * log2(1 + count), rounded down: an order of tokens needs no more. The count it stands for, at least:
+_COUNT = np.floor(2 ** (np.arange(256) / 8)).astype(np.int64) - 1
 
 
 class _Words(dict):
@@ -93,40 +95,43 @@ def _scan(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(CELLS // PARTS, np.uint64)
         for x in group["cells"]:
             total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"part": [key[0]], "cells": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "cells": [np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8).tobytes()]})
 
     scanned = materialize(rows.mapInPandas(run, "doc_id long, n long, sig long, part int, cells binary"), "shingled")
-    sketch = np.zeros((PARTS, CELLS // PARTS), np.uint32)
-    for r in scanned.where("part >= 0").select("part", "cells").groupBy("part").applyInPandas(add, "part int, cells binary").collect():  # 16 MB, whatever the input
-        sketch[r["part"]] = np.frombuffer(r["cells"], np.uint32)
+    sketch = np.zeros((PARTS, CELLS // PARTS), np.uint8)
+    for r in scanned.where("part >= 0").select("part", "cells").groupBy("part").applyInPandas(add, "part int, cells binary").collect():  # 4 MB, whatever the input
+        sketch[r["part"]] = np.frombuffer(r["cells"], np.uint8)
     return scanned.where("part < 0").select("doc_id", "n", "sig"), sketch.ravel()
 
 
 def _postings(rows: DataFrame, shared, buckets: int, width: int, percent: int) -> DataFrame:
-    """Prefix postings, packed by bucket: (bucket, token, sig, n, pos) as arrays of bytes.
+    """Prefix postings, packed by bucket: (bucket, dealt, token, sig, n, pos), the last four as arrays of bytes.
 
     The tokens of a set are ordered by their cell's count and then by hash: any such order is right for prefixes,
-    and this one leaves frequent shingles out of them.
+    and this one leaves frequent shingles out of them. ``dealt`` lists may have their members in several buckets.
     """
+    most = LONG
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, count, seen, held, size = _Words(), shared.value, set(), [], 0
 
         def flush() -> pd.DataFrame:
             token, sig, n, pos, often = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            split = often // LONG
-            if split.any():  # a list this long is dealt over more buckets by its sets
-                turn = np.where(split > 0, (sig.view(np.uint64) >> np.uint64(20)) % (split.astype(np.uint64) + np.uint64(1)), 0)
+            split = _COUNT[often] // most
+            dealt = split > 0
+            if dealt.any():  # a list this long is dealt over more buckets by its sets
+                turn = np.where(dealt, (sig.view(np.uint64) >> np.uint64(20)) % (split.astype(np.uint64) + np.uint64(1)), 0)
                 bucket = (bucket + turn.astype(np.uint64)) % np.uint64(buckets)
-            order = np.lexsort((token, bucket))
+            order = np.lexsort((token, dealt, bucket))
             size16 = [x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x for x in (n, pos)]
-            ends = np.flatnonzero(np.diff(bucket[order], append=np.uint64(buckets))) + 1
+            ends = np.append(np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(dealt[order]) != 0)) + 1, len(order))
             out = []
             for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
                 at = order[lo:hi]
                 low, high = token[at].astype(np.uint32), (token[at] >> np.uint64(32)).astype(np.uint16)  # 48 bits of a token tell lists apart
-                out.append((int(bucket[at[0]]), low.tobytes() + high.tobytes(), sig[at].tobytes(), *(x[at].tobytes() for x in size16)))
-            return pd.DataFrame(out, columns=["bucket", "token", "sig", "n", "pos"])
+                out.append((int(bucket[at[0]]), bool(dealt[at[0]]), low.tobytes() + high.tobytes(), sig[at].tobytes(), *(x[at].tobytes() for x in size16)))
+            return pd.DataFrame(out, columns=["bucket", "dealt", "token", "sig", "n", "pos"])
 
         for batch in batches:
             for t in batch["text"]:
@@ -137,7 +142,7 @@ def _postings(rows: DataFrame, shared, buckets: int, width: int, percent: int) -
                 often = count[(s & np.uint64(CELLS - 1)).astype(np.int64)]
                 p = len(s) - -(-percent * len(s) // 100) + 1
                 order = np.lexsort((s, often))[:p]
-                held.append((s[order], np.full(p, g, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), often[order].astype(np.int64)))
+                held.append((s[order], np.full(p, g, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), often[order]))
                 size += p
                 if size > 2_000_000:
                     yield flush()
@@ -145,7 +150,7 @@ def _postings(rows: DataFrame, shared, buckets: int, width: int, percent: int) -
         if held:
             yield flush()
 
-    return rows.mapInPandas(run, "bucket long, token binary, sig binary, n binary, pos binary")
+    return rows.mapInPandas(run, "bucket long, dealt boolean, token binary, sig binary, n binary, pos binary")
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
@@ -157,13 +162,14 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         sig = np.frombuffer(b"".join(group["sig"]), np.int64)
         n, pos = (np.concatenate([np.frombuffer(x, np.uint16 if len(x) * 4 == len(y) else np.int32).astype(np.int32) for x, y in zip(group[c], group["sig"], strict=True)]) for c in ("n", "pos"))
         token = np.concatenate([np.frombuffer(t, np.uint32, len(t) // 6).astype(np.int64) | np.frombuffer(t, np.uint16, offset=len(t) // 6 * 4).astype(np.int64) << 32 for t in group["token"]])
+        dealt = np.repeat(group["dealt"].to_numpy(bool), [len(x) // 8 for x in group["sig"]])
         order = np.lexsort((sig, n, token))
-        token, sig, n, pos = token[order], sig[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        token, sig, n, pos, dealt = token[order], sig[order], n[order].astype(np.int64), pos[order].astype(np.int64), dealt[order]
         keep = np.append(True, (np.diff(token) != 0) | (np.diff(sig) != 0))
-        token, sig, n, pos = token[keep], sig[keep], n[keep], pos[keep]
+        token, sig, n, pos, dealt = token[keep], sig[keep], n[keep], pos[keep], dealt[keep]
         begin = np.flatnonzero(np.append(True, np.diff(token) != 0))
         length = np.diff(np.append(begin, len(token)))
-        size = np.repeat(length, length)
+        size = np.repeat(np.where(np.maximum.reduceat(dealt, begin), np.maximum(length, SHORT + 1), length), length)  # a dealt list's other members are elsewhere
         pairs = []
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:  # sizes, then what can still follow both positions
@@ -221,8 +227,8 @@ def _bits(ids: DataFrame) -> np.ndarray:
     """A bit for each slot that an id of ``ids`` (doc_id) falls into."""
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     words = ids.select(_slot().alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b"))
-    for r in words.toPandas().itertuples():  # at most 2 ** 19 rows, whatever the input
-        bits[r.w] = np.uint64(int(r.b) & (2**64 - 1))
+    found = words.toPandas()  # at most 2 ** 19 rows, whatever the input
+    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
     return bits
 
 
@@ -296,7 +302,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     scanned, sketch = _scan(rows, width)
     total = scanned.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), total * (100 - percent) // 100 // POSTINGS + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 16 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 4 MB, whatever the input
     del sketch
     postings = _postings(rows, shared, buckets, width, percent).repartition(buckets, "bucket")
     found = materialize(_candidates(postings, percent), "candidates")

@@ -270,14 +270,17 @@ def _classes(rows, sets):
     return [(rows[k][0], len(sets[k]), least.get(find(k))) for k in ids]
 
 
-@pytest.mark.parametrize("short", [3, 1])
-def test_jaccard_join(docs, rows, short, monkeypatch):
+@pytest.mark.parametrize(("short", "long"), [(3, 100_000), (1, 100_000), (3, 1), (3, 4)])  # long 1: every list is dealt over buckets
+def test_jaccard_join(docs, rows, short, long, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "LONG", long)
     got = jaccard.join_documents(docs)
     assert count_of(got, "doc_id", "n_shingles", "component_id") == collections.Counter(_classes(rows, _sets(rows)))
 
 
-def test_jaccard_join_of_chained_groups(spark):
+@pytest.mark.parametrize("long", [100_000, 4])
+def test_jaccard_join_of_chained_groups(spark, long, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", long)
     rng = np.random.default_rng(8)
     rows = []
     for g in range(6):
