@@ -80,8 +80,8 @@ class ContextTrees:
         return np.unique(code, return_counts=True)
 
     def _flatten(self, counts: list, keys: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for c in counts:
+        bits = np.empty((sum(map(len, keys)), a, len(counts)), np.float32)
+        for k, c in enumerate(counts):  # one language's doubles at a time: they are what takes memory
             below, levels = np.full((1, a), 1 / a), []
             for o in range(ORDER + 1):
                 code, n = c[o]
@@ -90,16 +90,16 @@ class ContextTrees:
                 table[np.searchsorted(keys[o], code[held] // a), code[held] % a] = n[held]
                 below = self._predict(table, below if o == 0 else below[self._lower(keys[o], keys[o - 1], o, a)])
                 levels.append(below)
-            out.append(np.concatenate(levels))
-        p = np.stack(out, -1)
-        p[:, a - 1] /= self.rest  # which of the bytes without a symbol of their own
+            p = np.concatenate(levels)
+            p[:, a - 1] /= self.rest  # which of the bytes without a symbol of their own
+            bits[..., k] = -np.log2(np.maximum(p, 1e-30, out=p), out=p)
         start = np.cumsum([0, *map(len, keys)])
         row = np.zeros(a**ORDER, np.int32)
         for o in range(1, ORDER + 1):
             # every context of ORDER symbols that ends in this one
             grid = row.reshape(-1, a**o)
             grid[:, keys[o]] = start[o] + np.arange(len(keys[o]))
-        return -np.log2(np.maximum(p, 1e-30)).astype(np.float32), row
+        return bits, row
 
     def lengths(self, texts: list[bytes], step: int = 1 << 20) -> np.ndarray:
         """Bits of each text in each language, over all its bytes."""
