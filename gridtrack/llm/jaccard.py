@@ -316,7 +316,8 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     group = components(links)
 
     # lists that are still apart: a long list whose sets are in more than one component
-    member = again.join(group.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    # written, as both what finds such lists and what takes their members reads it: joined once, not twice
+    member = materialize(again.join(group.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")), "members")
     apart = member.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     rest = materialize(member.join(apart, "token", "left_semi"), "apart")
     rest = rest.select("token", "a", "n", "pos", "component")
