@@ -115,6 +115,31 @@ def test_exchange_follows_straight_movers():
     assert [[f for _, f in x] for x in ex.tracks(ex.run())] == [[0, 2, 4], [1, 3, 5]]
 
 
+def test_exchange_query_takes_every_frame(spark, tmp_path):
+    from gridtrack.plans import catalog
+
+    rng, n, chunk, overlap = np.random.default_rng(5), 260, 50, 3
+    rows = [(2 * k, rng.normal(0, 0.15, 64).astype("float32").tolist()) for k in range(n)]  # vec_id has gaps, and goes far beyond 199
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cells = fields.dense_cells(spark, str(tmp_path))
+    points = stencil.object_detect(cells, fields.DENSE, 5, 0.1, "max").orderBy("t", "c_idx").collect()
+    rules, want, start, number = exchange.Rules(dmax=40.0, zones=[], adapt=[], phimax=0.9, min_lifetime=2), [], 0, 0
+    while True:  # chunk after chunk, in one process
+        stop = min(start + chunk, n)
+        own = [[p for p in points if p["t"] == 2 * k] for k in range(start, stop)]
+        flat = [p for f in own for p in f]
+        ex = exchange.Exchange([(np.array([p["rlat"] for p in f], float), np.array([p["rlon"] for p in f], float)) for f in own], rules)
+        found = [x for x in ex.tracks(ex.run()) if len(x) >= 2]
+        want += [(number, i, s, flat[f]["t"], flat[f]["rlat"], flat[f]["rlon"]) for i, x in enumerate(found, 1) for s, (_, f) in enumerate(x, 1)]
+        if stop == n:
+            break
+        start, number = stop - overlap, number + 1
+    got = sorted(tuple(r)[:6] for r in catalog.exchange_link(spark, str(tmp_path)).collect())
+    assert [r[:4] for r in got] == [w[:4] for w in sorted(want)]
+    assert np.array([r[4:] for r in got]) == pytest.approx(np.array([w[4:] for w in sorted(want)]), abs=2e-6)
+    assert catalog.spliced_tracks(spark, str(tmp_path)).agg({"t": "max"}).first()[0] == max(w[3] for w in want)
+
+
 def test_exchange_costs():
     u = exchange.unit_vectors
     one = lambda *p: exchange.triplet_cost(*(u(np.array([a]), np.array([b])) for a, b in p[:3]), *p[3:])[0]
