@@ -10,7 +10,7 @@ from .common import fresh, materialize
 MIN_SITES = 10
 #: Bits of an HLL sketch (relative error 1.04 / sqrt(2 ** bits), 1.6 %) and the band around the threshold that is counted exactly: over ten errors wide.
 LG_K, BAND = 12, 0.2
-#: A document that would lose more than this share of its characters is a copy of others as a whole; document dedup judges it.
+#: Share of op7's query and its SQL: there a document that would lose more than this share of its characters stays whole.
 MAX_SHARE = 0.5
 #: Most boilerplate lines that the plan itself holds, as 8-byte hashes: 80 kB.
 INLINE_LINES = 10_000
@@ -43,11 +43,12 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
     return rough.where(F.col("n") >= min_sites * (1 + BAND)).select("h").unionByName(exact.where(F.col("n") >= min_sites).select("h"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, text: str = "text", site: str = "source", removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = None, text: str = "text", site: str = "source", removed: str | None = None) -> DataFrame:
     """``docs`` with the lines removed that occur on ``min_sites`` or more sites; all other columns pass unchanged.
 
-    A line counts without its outer white space; blank lines always stay. A document that would lose more than
-    ``max_share`` of its characters stays whole. Null texts stay null; empty texts stay empty; repeated rows are
+    A line counts without its outer white space; blank lines always stay. A document that would lose all its other
+    lines is a copy as a whole and stays, for document dedup to judge; with ``max_share`` one that would lose more than
+    that share of its characters stays instead. Null texts stay null; empty texts stay empty; repeated rows are
     treated alike; an empty table returns an empty table. ``removed`` names a column for the number of lines removed.
     """
     spread = materialize(spread_lines(docs, min_sites, text, site), "boilerplate")
@@ -66,11 +67,15 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float =
     return _without(out, lost, text, max_share, removed)
 
 
-def _without(docs: DataFrame, lost: str, text: str, max_share: float, removed: str | None) -> DataFrame:
+def _without(docs: DataFrame, lost: str, text: str, max_share: float | None, removed: str | None) -> DataFrame:
     pairs = F.arrays_zip(line_array(F.col(text)).alias("line"), F.col(lost).alias("lost"))
     pick = lambda flag: F.transform(F.filter(pairs, lambda p: p["lost"] == flag), lambda p: p["line"])
     kept, gone = F.array_join(pick(False), "\n"), F.array_join(pick(True), "\n")
-    act = F.exists(lost, lambda x: x) & (F.length(gone) <= F.length(text) * max_share)
+    if max_share is None:
+        rest = F.exists(pairs, lambda p: ~p["lost"] & line_hash(p["line"]).isNotNull())
+    else:
+        rest = F.length(gone) <= F.length(text) * max_share
+    act = F.exists(lost, lambda x: x) & rest
     if removed:
         docs = docs.withColumn(removed, F.when(act, F.size(pick(True))).otherwise(F.lit(0)))
     return docs.withColumn(text, F.when(act, kept).otherwise(F.col(text))).drop(lost)
@@ -79,7 +84,7 @@ def _without(docs: DataFrame, lost: str, text: str, max_share: float, removed: s
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines kept, n_removed and the text that stays, of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = dedup_lines(docs, removed="n_removed")
+    out = dedup_lines(docs, max_share=MAX_SHARE, removed="n_removed")  # as OP7_SQL has it
     return out.select("doc_id", F.coalesce(F.size(line_array(F.col("text"))), F.lit(0)).alias("n_lines"), F.col("n_removed").cast("int").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -354,6 +354,20 @@ def test_line_dedup(spark, inline, monkeypatch):
     assert lines.dedup_lines(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("inline", [10_000, 0])
+def test_pipeline_removes_boilerplate_of_any_share(spark, inline, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(lines, "INLINE_LINES", inline)
+    notice = "All rights reserved by the owners of this site, whoever they are."
+    rows = [(k, f"{notice}\nown {k}", f"s{k}") for k in range(12)]  # over half of it is boilerplate
+    rows += [(20, f"{notice}\n \n{notice}", "s1"), (21, None, "s1"), (22, "", "s2")]  # a whole copy; nothing
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = corpus_pipeline.line_dedup(spark, df, "")
+    want = [(d, f"own {d}" if d < 12 else t) for d, t, _ in rows]
+    assert count_of(got, "doc_id", "text") == collections.Counter(want)
+
+
 def test_line_spread_is_exact_near_the_threshold(spark):
     rows = [(f"line {k}", f"s{s}") for k in range(300) for s in range(5 + k % 11)]
     got = {r["h"] for r in lines.spread_lines(spark.createDataFrame(rows, "text string, source string"), 10).collect()}
