@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
+    """One row of each group of near-duplicates: the one with the least doc_id, nulls last."""
     tune(spark)
     return jaccard.keep_one(docs).select(*docs.columns)
 

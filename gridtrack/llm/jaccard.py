@@ -22,6 +22,8 @@ SHORT = 3
 LONG = 100_000
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NONE = np.zeros(0, np.uint64)
+#: What a text with words has: a character that ``bytes.split`` doesn't take as white space.
+WORDS = r"[^ \t\n\x0B\f\r]"
 #: A cell's byte is 8 * log2(1 + count), rounded down: an order of tokens needs no more. The count it stands for, at least:
 _COUNT = np.floor(2 ** (np.arange(256) / 8)).astype(np.int64) - 1
 
@@ -359,11 +361,24 @@ def _derive(pairs: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "na", "nb", F.coalesce(same & (F.col("ca") + F.col("cb") - F.col("npa") >= least), F.lit(False)).alias("sure"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their component; rows without a doc_id or without words stay."""
-    out, group = fresh(docs.columns, "_kept_id", "_component")
-    found = join_documents(docs, doc_id=doc_id, **options).where("component_id <> doc_id").select(F.col("doc_id").alias(out)).distinct()
-    return docs.join(found, docs[doc_id] == found[out], "left_anti")
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component, the one with the least doc_id (nulls last); rows without words stay.
+
+    Rows are joined by a key of all their columns, so that rows without a doc_id link like others and texts under one
+    doc_id are told apart. Rows with equal keys are equal: they are first combined where they are read.
+    """
+    key, blank = fresh(docs.columns, "_key", "_blank")
+    cols = [F.col(c) for c in docs.columns]
+    # a null adds nothing to xxhash64, so which columns are null is hashed as well
+    keyed = docs.withColumn(blank, ~F.coalesce(F.col(text).rlike(WORDS), F.lit(False)))
+    rows = keyed.where(~F.col(blank)).drop(blank).withColumn(key, F.xxhash64(*cols, *[c.isNull() for c in cols]))
+    found = join_documents(rows.select(key, text), doc_id=key, text=text, **options).select(F.col("doc_id").alias("k"), "component_id").distinct()
+    order = F.struct(F.col("i").isNull().alias("none"), "i", "k")
+    ids = rows.groupBy(F.col(key).alias("k")).agg(F.min(doc_id).alias("i"))
+    kept = found.join(ids, "k").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.k").alias(key))
+    kept = materialize(kept, "kept")
+    one = rows.dropDuplicates([key]).join(kept, key, "left_semi").drop(key)
+    return one.select(*docs.columns).unionByName(keyed.where(blank).select(*docs.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,23 @@ def test_jaccard_join_of_nothing_and_keep_one(docs, rows):
     assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(want)
 
 
+def test_keep_one_row_of_each_group(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = lambda t: t + " tail"
+    rows = [(1, a, "x")] * 5 + [(1, a, "y"), (4, near(a), "x")]  # one doc_id many times, and a near copy
+    rows += [(2, b, "x"), (None, b, "x"), (None, near(b), None)]  # without a doc_id, beside one that has it
+    rows += [(None, c, "x"), (None, c, "x"), (None, near(c), "x")]  # a group without any doc_id
+    rows += [(4, d, "x")]  # doc_id 4's other text, in a component of its own
+    rows += [(5, None, "x"), (5, " \n\t ", "x"), (None, "", "x"), (None, "", "x")]  # no words: all stay
+    for part in (1, 5):
+        got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(part)).collect()
+        words = [(r["doc_id"], r["text"]) for r in got if (r["text"] or "").strip()]
+        assert len(words) == 4 and {(1, a), (2, b), (4, d)} < set(words)
+        assert [t in (c, near(c)) for i, t in words if i is None] == [True]
+        assert collections.Counter((r["doc_id"], r["text"]) for r in got if not (r["text"] or "").strip()) == collections.Counter((i, t) for i, t, _ in rows[-4:])
+
+
 # 6
 
 
