@@ -13,19 +13,24 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all
+    executors are threads of this process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _own.setdefault(app, tempfile.mkdtemp(prefix="gridtrack-"))
     return f"{root.rstrip('/')}/gridtrack-{app}"
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Arrow batches of fewer rows than Spark's default, as rows here are whole texts; a setting of one's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def tune(spark: SparkSession, rows: int = 1000, size: str = "16m") -> SparkSession:
+    """Arrow batches of fewer rows and bytes than Spark's defaults, as rows here are whole texts, for this session;
+    settings of one's own stay."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
     return spark
 
 
@@ -67,6 +72,13 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def row_key(docs: DataFrame):
+    """A hash of all columns of a row; maps, which Spark doesn't hash, by their text, and nulls, which add nothing, by
+    their places."""
+    own = [F.col(f"`{f.name}`") if "map<" not in f.dataType.simpleString() else F.col(f"`{f.name}`").cast("string") for f in docs.schema]
+    return F.xxhash64(*own, F.concat(*[F.when(F.col(f"`{f.name}`").isNull(), "1").otherwise("0") for f in docs.schema]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) -> (id, component): the smallest id each id can reach.
 

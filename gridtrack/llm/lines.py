@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, row_key
 
 MIN_SITES = 10
 #: Bits of an HLL sketch (relative error 1.04 / sqrt(2 ** bits), 1.6 %) and the band around the threshold that is counted exactly: over ten errors wide.
 LG_K, BAND = 12, 0.2
-#: Share of op7's query and its SQL: there a document that would lose more than this share of its characters stays whole.
-MAX_SHARE = 0.5
 #: Most boilerplate lines that the plan itself holds, as 8-byte hashes: 80 kB.
 INLINE_LINES = 10_000
 
@@ -35,7 +33,6 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text"
     """
     per_line = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.explode(F.array_distinct(F.transform(line_array(F.col(text)), line_hash))).alias("h"))
     per_line = per_line.where("h is not null")
-    # a line seen once needs no sketch: min and max of the site tell one site from more before any sketch is built
     rough = per_line.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n")) if min_sites > 1 else per_line.select("h", F.lit(1).alias("n")).distinct()
     rough = materialize(rough.where(F.col("n") >= min_sites * (1 - BAND)), "line-spread")
     near = rough.where(F.col("n") < min_sites * (1 + BAND)).select("h")
@@ -60,7 +57,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float |
         gone = lambda x: F.coalesce(line_hash(x).isin(held), F.lit(False)) if held else F.lit(False)
         return _without(docs.withColumn(lost, F.transform(lines, gone)), lost, text, max_share, removed)
     # otherwise the lines meet the list by a shuffle; AQE splits the rows of a frequent line. Only row keys and positions travel back.
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    keyed = docs.withColumn(key, row_key(docs))
     hits = keyed.select(key, F.posexplode(F.transform(lines, line_hash)).alias("p", "h")).join(spread, "h", "left_semi")
     hits = hits.distinct().groupBy(key).agg(F.collect_set("p").alias(cut))
     out = keyed.join(hits, key, "left").withColumn(lost, F.transform(lines, lambda x, i: F.coalesce(F.array_contains(cut, i), F.lit(False)))).drop(cut, key)
@@ -84,10 +81,11 @@ def _without(docs: DataFrame, lost: str, text: str, max_share: float | None, rem
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines kept, n_removed and the text that stays, of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = dedup_lines(docs, max_share=MAX_SHARE, removed="n_removed")  # as OP7_SQL has it
+    out = dedup_lines(docs, removed="n_removed")
     return out.select("doc_id", F.coalesce(F.size(line_array(F.col("text"))), F.lit(0)).alias("n_lines"), F.col("n_removed").cast("int").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+# A document without lines of its own, blank ones aside, is a copy as a whole and stays, as in dedup_lines.
 OP7_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS site, text, string_split(text, chr(10)) AS ls FROM documents
@@ -98,14 +96,14 @@ WITH d AS (
 ), b AS (
   SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= {MIN_SITES}
 ), m AS (
-  SELECT k.*, b.bare IS NOT NULL AS gone FROM k LEFT JOIN b ON k.bare = b.bare
+  SELECT k.r, k.p, k.line, k.bare, b.bare IS NOT NULL AS gone FROM k LEFT JOIN b ON k.bare = b.bare
 ), g AS (
   SELECT r, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS kept,
-         count(*) FILTER (WHERE gone) AS n_gone, coalesce(sum(length(line)) FILTER (WHERE gone), 0) + greatest(count(*) FILTER (WHERE gone) - 1, 0) AS lost
+         count(*) FILTER (WHERE gone) AS n_gone, count(*) FILTER (WHERE NOT gone AND bare <> '') AS n_own
   FROM m GROUP BY r
 ), o AS (
-  SELECT d.doc_id, CASE WHEN n_gone > 0 AND lost <= length(d.text) * {MAX_SHARE} THEN kept ELSE d.text END AS text,
-         CASE WHEN n_gone > 0 AND lost <= length(d.text) * {MAX_SHARE} THEN n_gone ELSE 0 END AS n_removed
+  SELECT d.doc_id, CASE WHEN n_gone > 0 AND n_own > 0 THEN kept ELSE d.text END AS text,
+         CASE WHEN n_gone > 0 AND n_own > 0 THEN n_gone ELSE 0 END AS n_removed
   FROM d LEFT JOIN g ON d.r = g.r
 )
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END::INT AS n_lines,
