@@ -9,118 +9,148 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
+#: Most bytes before a symbol that predict it; at most 7, as a context and its symbol are one 64-bit number.
 ORDER = 3
-#: The sample that models are fitted on: documents of each language, and their most characters.
+#: The sample that models are fitted on: documents of each language, and the most characters read of each.
 SAMPLE, SAMPLE_CHARS = 200, 20_000
-#: Most contexts of a tree; the rarest of the longest go first, and their rows are then those of shorter ones.
-CONTEXTS = 40_000
-#: Byte values that have symbols of their own; the rest share the last one.
-SYMBOLS = 128
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Index:
+    """Rows of sorted distinct numbers, by open addressing: a few array reads for any number of lookups at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << int(64 - self.shift)
+        self.mask, self.key, self.row = size - 1, np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.row[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            first = first[free[first]]
+            self.key[slot[first]], self.row[slot[first]] = keys[todo[first]], todo[first]
+            rest = np.ones(len(todo), bool)
+            rest[first] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * _HASH) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each number, -1 where it isn't one of the keys."""
+        slot = self._slot(keys)
+        out = self.row[slot]
+        todo = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            at = slot[todo]
+            out[todo] = self.row[at]
+            todo = todo[(self.row[at] >= 0) & (self.key[at] != keys[todo])]
+        return out
 
 
 class ContextTrees:
-    """Code lengths, in bits, of a byte after up to ``ORDER`` bytes, for each language.
+    """Code lengths, in bits, of a byte after up to ``order`` bytes, for each language.
 
     Counts of the training texts give trees of contexts. A context predicts what it has seen with count / (total +
     distinct) and leaves distinct / (total + distinct) as escape to the context one byte shorter, in which what was
-    already seen is excluded; below the empty context all symbols are alike. As the counts are frozen, the walk down
-    the tree is the same every time, so its result is stored for every (context, symbol): a row of ``bits`` for a
-    context that any language has seen, where a language that hasn't uses its longest one that it has.
+    already seen is excluded; below the empty context all 256 bytes are alike. Counts are frozen, so for every
+    (context, byte) that any language has seen the walk's result is stored for all languages, and for every context
+    the bits of its escape, with exclusion, for all languages (0 where a language hasn't seen the context). What a
+    byte costs is then one stored value and the escapes of the longer contexts above it. Nothing seen is left out.
     """
 
-    def __init__(self, samples: dict[str, list[bytes]]):
-        self.languages = sorted(samples)
-        seen = np.bincount(np.frombuffer(b"".join(b"".join(x) for x in samples.values()), np.uint8), minlength=256)
-        own = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-        own = own[seen[own] > 0]
-        self.symbol = np.full(256, len(own), np.uint8)
-        self.symbol[own] = np.arange(len(own))
-        self.rest = int(256 - len(own))
-        a = len(own) + 1
-        if not samples:
-            self.bits, self.row, self.a = np.zeros((1, a, 0), np.float32), np.zeros(a**ORDER, np.int32), a
-            return
-        counts = [[self._count(texts, o, a) for o in range(ORDER + 1)] for texts in (samples[x] for x in self.languages)]
-        keys = [np.unique(np.concatenate([c[o][0] // a for c in counts])) for o in range(ORDER + 1)]
-        if len(keys[ORDER]) > CONTEXTS:
-            total = np.zeros(len(keys[ORDER]))
-            for c in counts:
-                np.add.at(total, np.searchsorted(keys[ORDER], c[ORDER][0] // a), c[ORDER][1])
-            keys[ORDER] = np.sort(keys[ORDER][np.argsort(-total, kind="stable")[:CONTEXTS]])
-        # rows of the longest contexts; shorter ones serve where no language has seen the longer
-        self.bits, self.row = self._flatten(counts, keys, a)
-        self.a = a
-
-    @staticmethod
-    def _lower(keys: np.ndarray, shorter: np.ndarray, order: int, a: int) -> np.ndarray:
-        return np.searchsorted(shorter, keys % a ** (order - 1))
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
+        if not 0 <= order <= 7:
+            raise ValueError("order must be 0 to 7")
+        self.order, self.languages = order, sorted(samples)
+        self.code, self.bits, self.context, self.escape = [], [], [], []
+        below, keys = None, None  # probabilities one order down and their numbers
+        for o in range(order + 1):
+            counts = [self._count(samples[x], o) for x in self.languages]
+            own = np.unique(np.concatenate([c for c, _ in counts])) if counts else np.zeros(0, np.uint64)
+            heads, owner = np.unique(own >> np.uint64(8), return_inverse=True)
+            p, escape = np.empty((len(own), len(counts)), np.float64), np.empty((len(heads), len(counts)), np.float32)
+            lower = None if o == 0 else np.searchsorted(keys, own & np.uint64((1 << 8 * o) - 1))
+            for k, (code, n) in enumerate(counts):
+                seen = np.zeros(len(own))
+                seen[np.searchsorted(own, code)] = n
+                short = np.full(len(own), 1 / 256) if o == 0 else below[lower, k]
+                total, distinct, mass = (np.bincount(owner, w, len(heads)) for w in (seen, seen > 0, np.where(seen > 0, short, 0)))
+                room = np.where(distinct == 256, 0, np.maximum(1 - mass, 1e-12))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    left = np.where(total > 0, distinct / (total + distinct) / room, 1.0)
+                    all_seen = (room == 0)[owner]
+                    p[:, k] = np.where(seen > 0, seen / np.where(all_seen, total[owner], (total + distinct)[owner]), short * np.where(all_seen, 0, left[owner]))
+                    escape[:, k] = np.where(room > 0, -np.log2(np.where(room > 0, left, 1)), 0)
+            self.code.append(_Index(own))
+            self.bits.append((-np.log2(np.maximum(p, 1e-300))).astype(np.float32))
+            self.context.append(_Index(heads))
+            self.escape.append(escape)
+            below, keys = p, own
 
     @staticmethod
-    def _predict(table: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        new = np.where(table > 0, 0, lower)
-        room = new.sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            full = table / np.where(room > 0, total + distinct, total) + np.where(room > 0, new / room * distinct / (total + distinct), 0)
-        return np.where(total > 0, full, lower)
-
-    def _count(self, texts: list[bytes], order: int, a: int) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts) of context and next symbol, as numbers in base ``a``, the symbol last."""
-        pad = self.symbol[np.frombuffer(b" " * order, np.uint8)]
-        s = np.concatenate([np.concatenate([pad, self.symbol[np.frombuffer(t, np.uint8)]]) for t in texts]).astype(np.int64)
-        ends = np.cumsum([len(t) + order for t in texts])
-        code = np.zeros(max(0, len(s) - order), np.int64)
+    def _count(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, counts) of context and next byte as one number, the byte last; texts begin after spaces."""
+        pad = b" " * order
+        s = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.uint64)
+        code = np.zeros(max(0, len(s) - order), np.uint64)
         for i in range(order + 1):
-            code = code * a + s[i : len(s) - order + i]
+            code = (code << np.uint64(8)) | s[i : len(s) - order + i]
         if order:  # windows that span two texts
+            ends = np.cumsum([len(t) + order for t in texts])
             bad = (ends[:-1, None] - order + np.arange(order)).ravel()
             code = np.delete(code, bad[bad < len(code)])
         return np.unique(code, return_counts=True)
 
-    def _flatten(self, counts: list, keys: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.empty((sum(map(len, keys)), a, len(counts)), np.float32)
-        for k, c in enumerate(counts):  # one language's doubles at a time: they are what takes memory
-            below, levels = np.full((1, a), 1 / a), []
-            for o in range(ORDER + 1):
-                code, n = c[o]
-                held = np.isin(code // a, keys[o])
-                table = np.zeros((len(keys[o]), a))
-                table[np.searchsorted(keys[o], code[held] // a), code[held] % a] = n[held]
-                below = self._predict(table, below if o == 0 else below[self._lower(keys[o], keys[o - 1], o, a)])
-                levels.append(below)
-            p = np.concatenate(levels)
-            p[:, a - 1] /= self.rest  # which of the bytes without a symbol of their own
-            bits[..., k] = -np.log2(np.maximum(p, 1e-30, out=p), out=p)
-        start = np.cumsum([0, *map(len, keys)])
-        row = np.zeros(a**ORDER, np.int32)
-        for o in range(1, ORDER + 1):
-            # every context of ORDER symbols that ends in this one
-            grid = row.reshape(-1, a**o)
-            grid[:, keys[o]] = start[o] + np.arange(len(keys[o]))
-        return bits, row
-
-    def lengths(self, texts: list[bytes], step: int = 1 << 20) -> np.ndarray:
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """Bits of each (context, byte) number in each language: (numbers, languages)."""
+        row = self.code[self.order](code)
+        out = self.bits[self.order][row] if len(self.bits[self.order]) else np.zeros((len(code), len(self.languages)), np.float32)
+        todo = np.flatnonzero(row < 0)
+        out[todo] = 0
+        for o in range(self.order, -1, -1):
+            if not len(todo):
+                break
+            own = code[todo] & np.uint64((1 << 8 * (o + 1)) - 1)
+            if o < self.order:
+                row = self.code[o](own)
+                hit = row >= 0
+                out[todo[hit]] += self.bits[o][row[hit]]
+                todo, own = todo[~hit], own[~hit]
+            head = self.context[o](own >> np.uint64(8))
+            known = head >= 0
+            out[todo[known]] += self.escape[o][head[known]]
+        out[todo] += 8  # not even the empty context knows the byte
+        return out
+
+    def lengths(self, texts: list[bytes], step: int = 1 << 18) -> np.ndarray:
         """Bits of each text in each language, over all its bytes."""
-        pad = b" " * ORDER
-        s = self.symbol[np.frombuffer(b"".join(pad + t for t in texts), np.uint8)].astype(np.int64)
-        size = np.array([len(t) + ORDER for t in texts])
-        owner = np.repeat(np.arange(len(texts)), size)
+        order, pad = self.order, b" " * self.order
+        s = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+        size = np.array([len(t) + order for t in texts])
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         inside = np.ones(len(s), bool)
         begin = np.cumsum(size) - size
-        inside[(begin[:, None] + np.arange(ORDER)).ravel()] = False
+        inside[(begin[:, None] + np.arange(order)).ravel()] = False
         out = np.zeros((len(texts), len(self.languages)))
-        for lo in range(ORDER, len(s), step):
+        for lo in range(order, len(s), step):
             hi = min(len(s), lo + step)
-            code = np.zeros(hi - lo, np.int64)
-            for i in range(ORDER, 0, -1):
-                code = code * self.a + s[lo - i : hi - i]
-            bits = self.bits[self.row[code], s[lo:hi]]
-            bits[~inside[lo:hi]] = 0
-            first, last = owner[lo], owner[hi - 1]
+            code = np.zeros(hi - lo, np.uint64)
+            for i in range(order, -1, -1):
+                code = (code << np.uint64(8)) | s[lo - i : hi - i]
+            keep = inside[lo:hi]
+            bits, at = self.costs(code[keep]), owner[lo:hi][keep]
+            if not len(at):
+                continue
+            first, last = at[0], at[-1]
             for k in range(len(self.languages)):
-                out[first : last + 1, k] += np.bincount(owner[lo:hi] - first, bits[:, k], last - first + 1)
+                out[first : last + 1, k] += np.bincount(at - first, bits[:, k], last - first + 1)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -145,42 +175,47 @@ def held_out(doc_id: Column, modulus: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> ContextTrees:
-    """Trees from at most ``sample`` documents of each language, of at most ``chars`` characters each.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, chars: int = SAMPLE_CHARS, order: int = ORDER) -> ContextTrees:
+    """Trees from at most ``sample`` documents of each language, of which at most the first ``chars`` characters are read.
 
     Only documents that have a language, a doc_id and a letter and are not held out are used, and of those the first
-    by a hash of doc_id. The sample is the only thing that reaches the driver; scoring covers all documents.
+    by a hash of doc_id; texts under one doc_id, or with equal hashes, come in order of their text. The sample is the
+    only thing that reaches the driver; scoring covers all documents and whole texts. Other columns, whatever their
+    names, are not read; without usable rows, as in an empty table, there are no trees.
     """
-    able = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(text).rlike(r"\p{L}") & (F.length(text) <= chars))
-    first = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    picked = able.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
-    ids = [r["doc_id"] for r in picked.select("doc_id").distinct().collect()]
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    able = own.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    able = able.withColumn("at", F.xxhash64("doc_id"))
+    first = Window.partitionBy("lang").orderBy("at", "doc_id")
+    picked = able.select("at", "doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    ids = sorted({r["doc_id"] for r in picked.select("doc_id").distinct().collect()})  # at most sample rows a language
     if not ids:
-        return ContextTrees({})
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "_wanted long"))  # at most sample rows a language
-    by: dict[str, list[tuple]] = {}
-    for r in able.join(wanted, F.col(doc_id) == F.col("_wanted"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text")).collect():
+        return ContextTrees({}, order)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], picked.select("doc_id").schema))
+    by: dict[str, list[str]] = {}
+    some = able.join(wanted, "doc_id", "left_semi").select("lang", F.substring("text", 1, chars).alias("text"))
+    for r in some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("text"))).where(F.col("n") <= sample).collect():
         by.setdefault(r["lang"], []).append(r["text"])
-    return ContextTrees({k: [t.encode() for t in sorted(v)[:sample]] for k, v in by.items()})
+    return ContextTrees({k: [t.encode() for t in sorted(v)] for k, v in by.items()}, order)
 
 
 def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the predicted language and its score as two more columns.
+    """``docs`` with the predicted language and its score as two more columns, the last.
 
-    ``und`` with score 0 if the text is null or has no letters, or nothing was learned. Every byte of a text counts.
-    Repeated rows are treated alike; an empty table stays empty.
+    ``und`` with score 0 if the text is null or has no letters, or nothing was learned. Every byte of a text counts,
+    however long it is. Equal code lengths go to the language that sorts first. Repeated rows are treated alike; an
+    empty table stays empty; where ``docs`` has a column of a name already, the new one's gets underscores.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by CONTEXTS rows a model
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # what a sample of fixed size gives a language
+    names = fresh(docs.columns, *names)
+    cell = fresh([*docs.columns, *names], "_predicted")[0]
 
-    @F.pandas_udf(f"{names[0]} string, {names[1]} double")
+    @F.pandas_udf("a string, b double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(names, shared.value.predict([t if isinstance(t, str) else None for t in texts]), strict=True)))
+        return pd.DataFrame(dict(zip("ab", shared.value.predict([t if isinstance(t, str) else None for t in texts]), strict=True)))
 
-    cell = "_predicted"
-    while cell in docs.columns:
-        cell += "_"
-    out = docs.withColumn(cell, predict(F.col(text)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{cell}.{n}").alias(n) for n in names])
+    out = docs.withColumn(cell, predict(F.col(f"`{text}`")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{cell}.{x}").alias(n) for x, n in zip("ab", names, strict=True)])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
