@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -107,7 +107,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, seed=SEED, doc_id="doc_id", text="text", source="source"):
         spark, self.block, self.docs, self.text = docs.sparkSession, block, docs, text
-        self.key = F.xxhash64(*[F.col(c) for c in docs.columns])
+        self.key = row_key(docs)
         sized = docs.select(F.col(doc_id).alias("doc_id"), self.key.alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
         self.sized = materialize(sized, "sizes")
         found = {r["source"]: (r["w"] or 0, r["n"]) for r in self.sized.groupBy("source").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()}

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, L2, LEAST = 64, 80, 4, 0.15, 1.0, 5
@@ -110,7 +112,9 @@ def held_out(doc_id: Column, modulus: int = 3, rest: int = 1) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> BoostedTrees:
     """Trees from at most ``sample`` labelled documents, the first by a hash of doc_id among those not held out.
 
-    Labels that are null or neither 0 nor 1 are left out; a doc_id with several labels counts with each.
+    Labels that are null or neither 0 nor 1 are left out; a doc_id with several labels counts with each, and rows
+    that repeat count as often as they stand. Ties in the hash go by doc_id and label. Other columns, whatever their
+    names, are not read. Empty tables, or no usable label, give no trees: every score is then the share of label 1.
     """
     usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
     picked = usable.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
@@ -128,7 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 
 def score_documents(docs: DataFrame, trees: BoostedTrees, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the chance of label 1 as one more column; null and empty texts have all statistics 0."""
+    """``docs`` with the chance of label 1 as one more column, the last.
+
+    Statistics are of whole texts, however long; null and empty texts have all statistics 0. Equal texts have equal
+    scores, repeated rows each get theirs; an empty table stays empty. If ``docs`` has a column of that name, the new
+    one's gets underscores.
+    """
+    name = fresh(docs.columns, name)[0]
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
@@ -136,7 +146,7 @@ def score_documents(docs: DataFrame, trees: BoostedTrees, text: str = "text", na
         x = np.stack([statistics(t if isinstance(t, str) else None) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)))
         return pd.Series(shared.value.score(x))
 
-    return docs.withColumn(name, predict(F.col(text)))
+    return docs.withColumn(name, predict(F.col(f"`{text}`")))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
