@@ -12,119 +12,197 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K, EVERY, SCALE = 20, 20, 64
-#: Bits of a cell number in each dimension; vectors in a candidate block and in a query block.
-BITS, ROWS, QUERIES = 6, 16_384, 1024
+#: Bits of a cell number in each dimension; vectors in a block of cells, in a block of queries, and in a task's read.
+BITS, ROWS, QUERIES = 6, 16_384, 256
+_LONG, _HUGE = 2**63 - 1, int(1e308)
 
 
-def integer_vector(v: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component; null if the vector is null, empty, holds null or non-finite components, or
-    one whose floor is no 53-bit integer."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) >= 2.0**53)
-    return F.when(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: bad(x.cast("double"))), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("bigint")))
+def sound_vector(v: Column) -> Column:
+    """The vector as doubles; null if it is null or empty or holds null or non-finite components."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: bad(x.cast("double"))), F.transform(v, lambda x: x.cast("double")))
 
 
-def _pack(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+def _packed(m: np.ndarray) -> tuple[str, bytes]:
+    """The bytes of integral doubles in the least integer type that holds them, or as doubles beyond 53 bits."""
+    kind = next((t for t in (np.int8, np.int16, np.int32, np.int64) if len(m) and np.iinfo(t).min <= m.min() and m.max() <= min(np.iinfo(t).max, 2**53)), np.float64)
+    return np.dtype(kind).str, m.astype(kind).tobytes()
 
-        def out(dim: int) -> pd.DataFrame:
-            ids, vs = zip(*held.pop(dim), strict=True)
-            m = np.stack(vs)
-            kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= m.min() and m.max() <= np.iinfo(t).max)
-            return pd.DataFrame({"dim": [dim], "ids": [np.array(ids, np.int64).tobytes()], "kind": [np.dtype(kind).str], "rows": [m.astype(kind).tobytes()]})
 
-        for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["v"], strict=True):
-                own = held.setdefault(len(v), [])
-                own.append((i, v))
-                if len(own) >= size:
-                    yield out(len(v))
-        for dim in list(held):
-            yield out(dim)
-
-    return run
+def _inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of integral doubles, as integers."""
+    if len(c) and len(q) and float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1] < 2.0**53:
+        return (c @ q).astype(np.int64)
+    whole = lambda x: np.array([[int(v) for v in r] for r in np.atleast_2d(x)], object)
+    return np.array([int((r * whole(q)[0]).sum()) for r in whole(c)], object)
 
 
-def va_scan(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): the k best rows of ``c`` for each of ``q`` and perhaps more that tie, by the VA-file method.
+class Cells:
+    """A vector-approximation file's block: cell numbers of ``BITS`` bits a dimension, and where each cell begins.
 
-    The scan sees cell numbers only: a cell of width w at number z holds w * z to w * z + w - 1, which bounds the
-    inner product from both sides. Rows are then read in order of their upper bounds until no bound reaches the kth
-    exact score.
+    Dimension d's values lie in cells of one width; a value in cell z is at least low[d] + z * width[d] and at most
+    width[d] - 1 more. Inner products are bounded from the cells alone.
     """
-    span = max(1, int(c.max()) - int(c.min()))
-    shift = max(0, span.bit_length() - bits)
-    cells, width = (c >> shift).astype(np.float64), float(1 << shift)
-    exact = float if float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1] < 2.0**53 else object
-    c_all, out = c.astype(exact), []
-    for lo in range(0, len(q), 128):
-        qs = q[lo : lo + 128]
-        base = width * (qs.astype(float) @ cells.T)
-        up, down = np.maximum(qs, 0).sum(1) * (width - 1), np.minimum(qs, 0).sum(1) * (width - 1)
-        slack = 1e-9 * (1 + np.abs(base).max())  # for sums beyond 53 bits
-        for r in range(len(qs)):
-            own = np.flatnonzero(c_ids != q_ids[lo + r])
-            if not len(own):
-                continue
-            bound = base[r, own] + up[r]
-            if len(own) > k:
-                low = np.partition(base[r, own] + down[r], len(own) - k)[len(own) - k]
-                near = np.flatnonzero(bound >= low - slack)
-            else:
-                near = np.arange(len(own))
-            near = near[np.argsort(-bound[near], kind="stable")]
-            score, at = np.empty(len(near), exact), 0
-            while at < len(near):
-                to = min(len(near), at + 4 * k)
-                score[at:to] = c_all[own[near[at:to]]] @ qs[r].astype(exact)
-                at = to
-                if at >= k and at < len(near) and bound[near[at]] + slack < np.partition(score[:at], at - k)[at - k]:
-                    break
-            score, ids = score[:at], c_ids[own[near[:at]]]
-            best = np.lexsort((ids, -score if exact is float else [-s for s in score]))[:k]
-            out.append((np.full(len(best), lo + r), ids[best], score[best].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+
+    def __init__(self, low: np.ndarray, width: np.ndarray, cells: np.ndarray):
+        self.low, self.width, self.cells = low, width, cells
+
+    @classmethod
+    def of(cls, m: np.ndarray, bits: int = BITS) -> Cells:
+        low = m.min(0)
+        width = np.exp2(np.ceil(np.log2(np.maximum((m.max(0) - low + 1) / 2**bits, 1))))  # powers of two: exact sums
+        return cls(low, width, np.minimum((m - low) // width, 2**bits - 1).astype(np.uint8))
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least, most) inner product of each of ``q`` (queries, dimensions) with each row: (queries, rows)."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            step = q * self.width
+            base = step @ self.cells.T.astype(np.float64) + (q @ self.low)[:, None]
+            room = q * (self.width - 1)
+            slack = 1e-9 * (np.abs(step) @ np.full(len(self.low), 2.0**BITS) + np.abs(q) @ np.abs(self.low))[:, None]
+            slack = np.where(slack * 1e9 < 2.0**52, 0, slack)  # sums within 53 bits are exact
+            low, high = base + np.minimum(room, 0).sum(1)[:, None] - slack, base + np.maximum(room, 0).sum(1)[:, None] + slack
+        return np.nan_to_num(low, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(high, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding", seen: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows for each row whose vec_id is divisible by ``every``.
 
-    Scores are inner products of floor(scale * x); ties go to the smaller vec_id; rows that carry the query's own
-    vec_id are no candidates. Vectors that are null or empty, hold null or non-finite components (or beyond 53
-    bits), or have a null vec_id take no part; vectors of another length are no candidates either. Repeated query
-    rows each get their list. Fewer than ``k`` candidates are all returned.
+    Scores are exact inner products of floor(scale * x), as ranked; one beyond 64 bits is given as the nearest long. A
+    vector whose scaled components overflow a double takes no part. Ties go to the smaller vec_id; rows that carry the query's own vec_id are no candidates. Vectors that are null or empty,
+    hold null or non-finite components, or have a null vec_id take no part; vectors of another length are no candidates
+    either. Repeated query rows each get their list, repeated candidates each a place. Fewer than ``k`` candidates are
+    all returned; an empty table gives none; other columns, whatever their names, are not read.
 
-    Queries and candidates are packed into blocks of fixed size and each pair of blocks meets by its two numbers, so
-    a task holds one block of each whatever the input, and rows that equal each other are rows of blocks like others.
+    1. Every vector is written twice: exactly, and as cells in blocks, the vector-approximation file.
+    2. Each block of queries scans each block of cells for bounds. The kth largest lower bound over all blocks is what
+       a query's kth result is at least.
+    3. A second scan of the cells keeps the rows whose upper bound reaches that. The ``2 * k`` of them with the largest
+       upper bounds are read exactly; of the others, only those whose bound reaches the kth exact score found.
+
+    ``seen`` collects the two tables of exact reads, for counting them.
     """
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), integer_vector(F.col(embedding), scale).alias("v")).where("vec_id is not null and v is not null")
-    rows = materialize(rows, "integers")
-    pack, spec = _pack, "dim long, ids binary, kind string, rows binary"
+    spark = vectors.sparkSession
+    v = sound_vector(F.col(embedding))
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dim"), "v")
 
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        n = df.count()
-        packed = df.repartition(max(1, -(-n // size))).mapInPandas(pack(size), spec)
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            packed = [_packed(np.floor(np.asarray(x, float) * scale)) if np.isfinite(np.asarray(x, float) * scale).all() else ("", b"") for x in batch["v"]]
+            yield batch[["row", "vec_id", "dim"]].assign(kind=[p[0] for p in packed], data=[p[1] for p in packed])
+
+    rows = materialize(rows.mapInPandas(exact, "row long, vec_id long, dim int, kind string, data binary").where("kind <> ''"), "vectors")
+
+    def unpack(batch: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.frombuffer(d, t).astype(np.float64) for d, t in zip(batch["data"], batch["kind"], strict=True)])
+
+    def blocks(df: DataFrame, size: int, cells: bool, name: str) -> DataFrame:
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, list[pd.DataFrame]] = {}
+
+            def out(dim: int, part: pd.DataFrame) -> dict:
+                m = unpack(part)
+                if not cells:
+                    kind, data = _packed(m)
+                    return {"kind": [kind], "data": [data], "low": [b""], "width": [b""]}
+                c = Cells.of(m)
+                return {"kind": ["|u1"], "data": [c.cells.tobytes()], "low": [c.low.tobytes()], "width": [c.width.tobytes()]}
+
+            def flush(dim: int, all_of_it: bool) -> Iterator[pd.DataFrame]:
+                whole = pd.concat(held.pop(dim))
+                for at in range(0, len(whole), size):
+                    part = whole.iloc[at : at + size]
+                    if len(part) < size and not all_of_it:
+                        held[dim] = [part]
+                        return
+                    yield pd.DataFrame({"dim": [dim], "rows": [part["row"].to_numpy(np.int64).tobytes()], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], **out(dim, part)})
+
+            for batch in batches:
+                for dim, part in batch.groupby("dim"):
+                    held.setdefault(dim, []).append(part)
+                    if sum(map(len, held[dim])) >= size:
+                        yield from flush(dim, False)
+            for dim in list(held):
+                yield from flush(dim, True)
+
+        n = max(1, -(-df.count() // size))
+        packed = df.repartition(n).mapInPandas(pack, "dim int, rows binary, ids binary, kind string, data binary, low binary, width binary")
         return materialize(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
-    cand, query = blocks(rows, ROWS, "candidates"), blocks(rows.where(F.pmod("vec_id", F.lit(every)) == 0), QUERIES, "queries")
-    # numbers of the blocks that each block meets: a row for each 1024 or 16384 rows
-    meet = query.select("dim", F.col("block").alias("qb")).join(cand.select("dim", F.col("block").alias("cb")), "dim").drop("dim")
-    meet = meet.repartition(max(1, query.count() * cand.count()), "qb", "cb")
-    meet = meet.join(query.select(F.col("block").alias("qb"), F.col("ids").alias("qi"), F.col("kind").alias("qk"), F.col("rows").alias("qr"), "dim"), "qb")
-    meet = meet.join(cand.select(F.col("block").alias("cb"), F.col("ids").alias("ci"), F.col("kind").alias("ck"), F.col("rows").alias("cr")), "cb")
-    meet = meet.repartition(max(1, query.count() * cand.count()), "qb", "cb")
+    cells = blocks(rows, ROWS, True, "cells")
+    query = blocks(rows.where(F.pmod("vec_id", F.lit(every)) == 0), QUERIES, False, "queries")
+    # a row for each pair of a block of queries and one of cells; the cells, a byte a dimension, are what travels
+    meet = query.select("dim", F.col("block").alias("qb")).join(cells.select("dim", F.col("block").alias("cb")), "dim").drop("dim")
+    tasks = max(1, query.count() * cells.count())
+    side = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("block", "dim", "rows", "ids", "kind", "data", "low", "width")])
+
+    def paired(name: str, extra: DataFrame | None = None) -> DataFrame:
+        out = meet if extra is None else meet.join(extra, "qb")
+        out = out.join(side(query, "q").withColumnRenamed("qblock", "qb"), "qb").join(side(cells, "c").withColumnRenamed("cblock", "cb"), "cb")
+        return out.repartition(min(tasks, 100_000), "qb", "cb")
+
+    def read(r) -> tuple[np.ndarray, Cells, np.ndarray, np.ndarray]:
+        q = np.frombuffer(r.qdata, r.qkind).reshape(-1, r.qdim).astype(np.float64)
+        c = Cells(np.frombuffer(r.clow), np.frombuffer(r.cwidth), np.frombuffer(r.cdata, np.uint8).reshape(-1, r.cdim))
+        return q, c, np.frombuffer(r.qids, np.int64), np.frombuffer(r.cids, np.int64)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q, c = (np.frombuffer(x, t).reshape(-1, r.dim).astype(np.int64) for x, t in ((r.qr, r.qk), (r.cr, r.ck)))
-                qi, ci = np.frombuffer(r.qi, np.int64), np.frombuffer(r.ci, np.int64)
-                at, ids, score = va_scan(q, qi, c, ci, k)
-                yield pd.DataFrame({"qb": r.qb, "at": at, "query_id": qi[at], "vec_id": ids, "score": score})
-
-    found = meet.mapInPandas(scan, "qb long, at long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("qb", "at").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                q, c, qi, ci = read(r)
+                low = np.where(qi[:, None] == ci[None, :], -np.inf, c.bounds(q)[0])
+                if low.shape[1] > k:
+                    low = np.partition(low, low.shape[1] - k, 1)[:, -k:]
+                yield pd.DataFrame({"qb": r.qb, "part": r.cb % 64, "lows": [low.tobytes()], "n": [len(q)]})
+
+    def merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        low = np.concatenate([np.frombuffer(x).reshape(int(n), -1) for x, n in zip(g["lows"], g["n"], strict=True)], 1)
+        if low.shape[1] > k:
+            low = np.partition(low, low.shape[1] - k, 1)[:, -k:]
+        return pd.DataFrame({"qb": [key[0]], "part": [0], "lows": [low.tobytes()], "n": [len(low)]})
+
+    spec = "qb long, part long, lows binary, n long"
+    best = paired("bounds").mapInPandas(scan, spec).groupBy("qb", "part").applyInPandas(merge, spec).groupBy("qb").applyInPandas(merge, spec)
+    best = materialize(best.select("qb", "lows"), "bounds")  # k doubles a query
+
+    def survive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                q, c, qi, ci = read(r)
+                kept = np.frombuffer(r.lows).reshape(len(q), -1)
+                least = kept.min(1) if kept.shape[1] >= k else np.full(len(q), -np.inf)
+                high = np.where(qi[:, None] == ci[None, :], np.nan, c.bounds(q)[1])
+                i, j = np.nonzero(high >= least[:, None])
+                qr, cr = np.frombuffer(r.qrows, np.int64), np.frombuffer(r.crows, np.int64)
+                for at in range(0, len(i), 100_000):
+                    own, other = i[at : at + 100_000], j[at : at + 100_000]
+                    yield pd.DataFrame({"q": qr[own], "row": cr[other], "high": high[own, other]})
+
+    open_ = materialize(paired("survivors", best).mapInPandas(survive, "q long, row long, high double"), "survivors")
+    place = Window.partitionBy("q").orderBy(F.desc("high"), "row")
+    first = open_.withColumn("place", F.row_number().over(place)).where(F.col("place") <= 2 * k)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            exact = [_inner(np.frombuffer(a, t).astype(np.float64), np.frombuffer(b, u).astype(np.float64)[None])[0] for a, t, b, u in zip(batch["qd"], batch["qk"], batch["data"], batch["kind"], strict=True)]
+            yield batch[["q", "query_id", "row", "vec_id"]].assign(score=[max(-_LONG - 1, min(_LONG, int(x))) for x in exact], size=[float(max(-_HUGE, min(_HUGE, int(x)))) for x in exact], tail=["" if -_LONG <= x <= _LONG else f"{int(x) + (1 << 2200):x}" for x in exact])
+
+    own = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("kind").alias("qk"), F.col("data").alias("qd"))
+
+    def scored(some: DataFrame, name: str) -> DataFrame:
+        both = some.select("q", "row").join(own, "q").join(rows.select("row", "vec_id", "kind", "data"), "row")
+        out = materialize(both.mapInPandas(score, "q long, query_id long, row long, vec_id long, score long, size double, tail string"), name)
+        if seen is not None:
+            seen.append(out)
+        return out
+
+    known = scored(first, "first")
+    order = Window.partitionBy("q").orderBy(F.desc("size"), F.desc("score"), F.desc("tail"), "vec_id", "row")
+    least = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("q", F.col("size").alias("least"))
+    rest = open_.join(least, "q").where("high >= least").join(known.select("q", "row"), ["q", "row"], "left_anti")
+    out = known.unionByName(scored(rest, "others"))
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
