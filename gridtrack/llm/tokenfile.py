@@ -14,26 +14,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tune
 
 #: Ids after which a shard is closed, and words whose ids a Python worker remembers.
-SHARD_IDS, CACHE = 4_000_000, 1_000_000
+SHARD_IDS, CACHE = 4_000_000, 250_000
+#: Bytes of input of a part of the files, about.
+PART_BYTES = 256 << 20
 END = 1
 _HEAD = struct.Struct("<4sIQQQ")
 _SAMPLE = 64
 
 
+_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+
+
 class EliasFano:
     """A sorted list of n integers up to u in n * (2 + log2(u / n)) bits, with direct access to the i-th.
 
     The low bits of each value lie in a packed array; the high bits as ones in a bit string, value v's at position
-    (v >> low) + i. ``select`` jumps to a sampled one and counts on from there.
+    (v >> low) + i. A select structure holds the position of every 64th one, as written: ``select`` jumps there and
+    counts whole bytes on from it, without unpacking the string.
     """
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray):
-        self.n, self.low, self.lows, self.highs = n, low, lows, highs
-        ones = np.flatnonzero(np.unpackbits(highs, bitorder="little"))
-        self.samples = ones[::_SAMPLE]
+    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
+        self.n, self.low, self.lows, self.highs, self.samples = n, low, lows, highs, samples
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -46,7 +50,7 @@ class EliasFano:
         ones = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, low, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"))
+        return cls(n, low, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"), ones[::_SAMPLE].astype("<u8" if len(high) >> 32 else "<u4"))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -55,31 +59,37 @@ class EliasFano:
             out |= ((self.lows[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
         return out
 
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        at, rank = int(self.samples[i // _SAMPLE]), i % _SAMPLE
-        while rank:
-            byte = at // 8 + 1 if at % 8 == 7 else None
-            at += 1
-            if byte is None or self.highs[byte]:
-                rank -= bool(self.highs[at >> 3] >> (at & 7) & 1)
-            else:
-                at += 7
-        return ((at - i) << self.low) | int(self._lows(np.array([i]))[0])
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))
-        i = np.arange(self.n)
-        return (((ones - i).astype(np.uint64) << np.uint64(self.low)) | self._lows(i)).astype(np.int64)
+    def select(self, i: int | np.ndarray) -> int | np.ndarray:
+        """The i-th value, or the values of an array of places."""
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        ones = self.samples[at // _SAMPLE].astype(np.int64)
+        byte, rest = ones >> 3, at % _SAMPLE
+        rest = rest + _ONES[self.highs[byte] & ((1 << (ones & 7)) - 1).astype(np.uint8)]  # ones of that byte before the sample
+        todo = np.arange(len(at))
+        while len(todo):  # whole bytes until the one that holds it
+            here = _ONES[self.highs[byte[todo]]]
+            todo, here = todo[over := rest[todo] >= here], here[over]
+            rest[todo] -= here
+            byte[todo] += 1
+        cell, bit = self.highs[byte].astype(np.int64), np.zeros(len(at), np.int64)
+        for k in range(8):
+            one = (cell >> k) & 1
+            bit = np.where((rest == 0) & (one == 1), k, bit)
+            rest = rest - one
+        out = (((byte * 8 + bit - at).astype(np.uint64) << np.uint64(self.low)) | self._lows(at)).astype(np.int64)
+        return int(out[0]) if np.ndim(i) == 0 else out
 
     def dumps(self) -> bytes:
-        return struct.pack("<QIQQ", self.n, self.low, len(self.lows), len(self.highs)) + self.lows.tobytes() + self.highs.tobytes()
+        parts = [x.tobytes() for x in (self.lows, self.highs, self.samples)]
+        return struct.pack("<QIQQI", self.n, self.low, len(self.lows), len(self.highs), self.samples.itemsize) + b"".join(parts)
 
     @classmethod
     def loads(cls, data: memoryview) -> tuple[EliasFano, int]:
-        n, low, a, b = struct.unpack_from("<QIQQ", data)
-        at = struct.calcsize("<QIQQ")
-        return cls(n, low, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a)), at + a + b
+        """The list at the start of ``data``, as views of it, and its size in bytes."""
+        n, low, a, b, width = struct.unpack_from("<QIQQI", data)
+        at, c = struct.calcsize("<QIQQI"), -(-n // _SAMPLE)
+        views = np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, f"<u{width}", c, at + a + b)
+        return cls(n, low, *views), at + a + b + c * width
 
 
 def dump_shard(doc_ids: list[int | None], counts: list[int], ids: bytes, width: int) -> bytes:
@@ -91,7 +101,7 @@ def dump_shard(doc_ids: list[int | None], counts: list[int], ids: bytes, width:
     base = doc_ids[nulls] if nulls < len(doc_ids) else 0
     docs = EliasFano.encode(np.array([d - base for d in doc_ids[nulls:]], np.int64)).dumps()
     bounds = EliasFano.encode(np.cumsum([0, *counts])).dumps()
-    return _HEAD.pack(b"GTK1", width, nulls, len(docs), len(bounds)) + struct.pack("<q", base) + docs + bounds + ids
+    return _HEAD.pack(b"GTK2", width, nulls, len(docs), len(bounds)) + struct.pack("<q", base) + docs + bounds + ids
 
 
 class Shard:
@@ -100,7 +110,7 @@ class Shard:
     def __init__(self, data: bytes):
         view = memoryview(data)
         magic, width, self.nulls, a, b = _HEAD.unpack_from(view)
-        if magic != b"GTK1":
+        if magic != b"GTK2":
             raise ValueError("not a token shard")
         (self.base,) = struct.unpack_from("<q", view, _HEAD.size)
         at = _HEAD.size + 8
@@ -114,6 +124,11 @@ class Shard:
     def doc(self, i: int) -> int | None:
         return None if i < self.nulls else self.base + self.docs.select(i - self.nulls)
 
+    def part(self, lo: int, hi: int) -> tuple[list[int | None], np.ndarray]:
+        """Document ids of documents lo..hi-1, and their boundaries, by select."""
+        own = self.base + self.docs.select(np.arange(max(lo, self.nulls), max(hi, self.nulls)) - self.nulls)
+        return [None] * (max(lo, self.nulls) - lo - max(0, self.nulls - hi)) + own.tolist(), self.starts.select(np.arange(lo, hi + 1))
+
     def bounds(self, i: int) -> tuple[int, int]:
         return self.starts.select(i), self.starts.select(i + 1)
 
@@ -180,9 +195,13 @@ def write_shards(docs: DataFrame, path: str, end: int = END, shard_ids: int = SH
     Rows are dealt by ranges of doc_id and sorted before they are encoded, so each task writes its files in one pass
     and holds one shard. A null text is empty and a document is at least its end id; null doc_ids come first; equal
     doc_ids follow each other by a hash of their text. Ids take two bytes if the vocabulary allows it, else four.
-    The files are the values of ``data`` in a Parquet table, so Spark's committer makes them whole or absent.
+    A very long text is one document of a shard of its own size; an empty table gives no files; other columns, whatever
+    their names, are not read. The files are the values of ``data`` in a Parquet table, so Spark's committer makes them
+    whole or absent on any store, whatever executors are lost. There are as many parts as keep each at about
+    ``PART_BYTES`` of the input as planned.
     """
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), min(size // PART_BYTES, 100_000))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("part", F.spark_partition_id())
 
@@ -225,10 +244,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, number, data in zip(batch["part"], batch["shard"], batch["data"], strict=True):
                 s = Shard(data)
-                docs = [None] * s.nulls + (s.docs.all() + s.base).tolist()
-                bounds = s.starts.all()
-                crc = [zlib.crc32(s.ids[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pd.DataFrame({"part": part, "shard": number, "doc_id": pd.array(docs, "Int64"), "inside": bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": crc})
+                for at in range(0, len(s), 4096):
+                    docs, bounds = s.part(at, min(len(s), at + 4096))
+                    crc = [zlib.crc32(s.ids[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pd.DataFrame({"part": part, "shard": number, "doc_id": pd.array(docs, "Int64"), "inside": bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": crc})
 
     rows = shards.select("part", "shard", "data").mapInPandas(decode, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(at, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
@@ -237,4 +256,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_shards(write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
+    return read_shards(write_shards(tune(spark).read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
