@@ -127,6 +127,19 @@ def test_mix_of_nothing(docs):
     assert mixing.Mix(docs.where("false")).documents().count() == 0
 
 
+def test_rows_with_maps(spark):
+    rows = [(k, f"own line {k}\nCookie notice.", f"s{k}", {"a": k}) for k in range(12)] + [(0, "own line 0\nCookie notice.", "s0", {"a": 0}), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>")
+    assert mixing.Mix(df).taken().count() == 14
+    assert {r["text"] for r in lines.dedup_lines(df).collect()} == {*(f"own line {k}" for k in range(12)), None}
+    inline, lines.INLINE_LINES = lines.INLINE_LINES, 0
+    try:
+        assert {r["text"] for r in lines.dedup_lines(df).collect()} == {*(f"own line {k}" for k in range(12)), None}
+    finally:
+        lines.INLINE_LINES = inline
+    assert jaccard.keep_one(df).count() == 13
+
+
 def test_targets_and_draws_and_permutations():
     assert mixing.targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
@@ -238,6 +251,34 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_reads_few_rows_exactly(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 300)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1000, 16)) * 8  # integers of over 6 bits: cells are wider than one
+    rows = [(k, [float(c) for c in v], 0) for k, v in enumerate(x)] + [(20, [float(c) for c in x[20]], 0), (7, [float(c) for c in x[20]], 0)]
+    df, seen = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3), []
+    got = topk.top_k(df, seen=seen)
+    ints, want = [(k, np.floor(64 * np.array(v)).astype(int)) for k, v, _ in rows], []
+    for q, v in ints:
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), k) for k, w in ints if k != q)[:20]
+            want += [(q, r, k, -s) for r, (s, k) in enumerate(best, 1)]
+    assert count_of(got, "query_id", "rank", "vec_id", "score") == collections.Counter(want)
+    assert sum(s.count() for s in seen) < 0.1 * 51 * len(rows)
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(k, [10.0 ** (k % 9), -(10.0 ** (k % 14)), 1.5]) for k in range(60)] + [(100, [1e15, 0.0, 1.0]), (101, [1e300, 1.0, 1.0]), (102, [-1e17, 5.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints, want, top = {k: [int(np.floor(64 * c)) for c in v] for k, v in rows}, [], 2**63 - 1
+    for q, v in ints.items():
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in ints.items() if k != q)[:20]
+            want += [(q, r, k, max(-top - 1, min(top, -s))) for r, (s, k) in enumerate(best, 1)]
+    assert count_of(got, "query_id", "rank", "vec_id", "score") == collections.Counter(want)
+
+
 # 5
 
 
@@ -278,9 +319,11 @@ def test_jaccard_join(docs, rows, short, long, monkeypatch):
     assert count_of(got, "doc_id", "n_shingles", "component_id") == collections.Counter(_classes(rows, _sets(rows)))
 
 
-@pytest.mark.parametrize("long", [100_000, 4])
-def test_jaccard_join_of_chained_groups(spark, long, monkeypatch):
+@pytest.mark.parametrize(("long", "block", "bits"), [(100_000, 512, 1 << 25), (4, 3, 64), (100_000, 3, 1 << 25)])
+def test_jaccard_join_of_chained_groups(spark, long, block, bits, monkeypatch):
     monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)  # 64: documents are read again by a join
     rng = np.random.default_rng(8)
     rows = []
     for g in range(6):
@@ -346,10 +389,11 @@ def test_elias_fano():
     rng = np.random.default_rng(0)
     for v in ([], [0], [5], [0, 0, 7, 7, 7], np.sort(rng.integers(0, 10**9, 1000)), np.arange(500), np.cumsum(rng.integers(0, 3, 700))):
         ef, _ = tokenfile.EliasFano.loads(memoryview(tokenfile.EliasFano.encode(np.array(v, np.int64)).dumps()))
-        assert ef.all().tolist() == list(v) and [ef.select(i) for i in range(len(v))] == list(v)
+        assert ef.select(np.arange(len(v))).tolist() == list(v) and [ef.select(i) for i in range(len(v))] == list(v)
     bounds = np.cumsum(rng.integers(100, 900, 10_000))
     assert len(tokenfile.EliasFano.encode(bounds).dumps()) < 10_000 * 2
     s = tokenfile.Shard(tokenfile.dump_shard([None, 3, 9], [2, 1, 3], np.arange(6, dtype="<u2").tobytes(), 2))
+    assert [s.part(i, j)[0] for i, j in ((0, 3), (0, 1), (0, 2), (1, 3), (2, 3))] == [[None, 3, 9], [None], [None, 3], [3, 9], [9]]
     assert [s.doc(i) for i in range(3)] == [None, 3, 9] and s.tokens(2).tolist() == [3, 4, 5] and len(s) == 3
 
 
@@ -413,15 +457,48 @@ def test_language(spark, docs):
     assert language.identify(df.where("false"), trees).count() == 0
 
 
-def test_code_lengths_are_a_distribution():
-    trees = language.ContextTrees({"a": [b"abracadabra", b"abc"], "b": [b"xyzzy xyz", b"aab"]})
-    p = 2.0 ** -trees.bits.astype(float)
-    p[:, -1] *= trees.rest
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+def _walk(samples, order, context, byte):
+    """Bits of a byte by a plain walk down the contexts."""
+
+    def chances(c):
+        lower = chances(c[1:]) if c else {k: 1 / 256 for k in range(256)}
+        n = collections.Counter()
+        for x in samples:
+            y = b" " * order + x
+            n.update(y[i] for i in range(order, len(y)) if y[i - len(c) : i] == c)
+        total, distinct = sum(n.values()), len(n)
+        if not total:
+            return lower
+        room = sum(v for k, v in lower.items() if k not in n)
+        return {k: n[k] / (total + distinct) if k in n else lower[k] / room * distinct / (total + distinct) for k in range(256)}
+
+    return -np.log2(chances(context)[byte])
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 4])
+def test_code_lengths_are_a_plain_walk(order):
+    samples = {"a": [b"abracadabra", b"abc"], "b": [b"xyzzy xyz", b"aab"]}
+    trees = language.ContextTrees(samples, order)
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        context, byte = bytes(rng.choice(list(b"abrxyz q"), order).tolist()), int(rng.choice(list(b"abxz\x07 ")))
+        got = trees.costs(np.array([int.from_bytes(context + bytes([byte]), "big")], np.uint64))[0]
+        assert np.allclose(got, [_walk(samples[x], order, context, byte) for x in "ab"], atol=1e-4), (context, byte)
+    every = np.array([int.from_bytes(b"abra"[:order] + bytes([k]), "big") for k in range(256)], np.uint64)
+    assert np.allclose((2.0 ** -trees.costs(every).astype(float)).sum(0), 1, atol=1e-4)
     got = trees.lengths([b"abra", b"", b"zzzzz"])
-    assert got[0, 0] < got[0, 1] and got[2, 1] < got[2, 0] and (got[1] == 0).all()
-    both = trees.lengths([b"abra" * 50, b"xyz"], step=7)
-    assert np.allclose(both, trees.lengths([b"abra" * 50, b"xyz"]))
+    assert np.allclose(got[0], [sum(_walk(samples[x], order, (b" " * order + b"abra")[i : i + order], b"abra"[i]) for i in range(4)) for x in "ab"], atol=1e-3)
+    assert (got[1] == 0).all() and np.allclose(trees.lengths([b"abra" * 50, b"xyz"], step=7), trees.lengths([b"abra" * 50, b"xyz"]), atol=1e-3)
+
+
+def test_language_beside_columns_of_its_names(spark):
+    rows = [(k, "some words of it " * (k + 1), "en", 1, "x", 2.0) for k in range(8)] + [(None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _wanted int, lang_pred string, score double")
+    got = language.identify(df, language.fit(df))
+    assert got.columns == [*df.columns, "lang_pred_", "score_"]
+    assert count_of(got, "doc_id", "lang_pred", "score", "lang_pred_") == collections.Counter((r[0], r[4], r[5], "en" if r[1] else "und") for r in rows)
+    long = spark.createDataFrame([(k, "ab " * 30_000, "zz") for k in range(8)], "doc_id long, text string, lang string")
+    assert language.fit(long).languages == ["zz"]  # only long texts: their beginnings are learned
 
 
 # 9
@@ -489,9 +566,165 @@ def test_quality(spark):
     assert quality.fit(d, l.where("false")).score(np.zeros((2, len(quality.FEATURES)))).tolist() == [0.5, 0.5]
 
 
+def test_quality_beside_columns_of_its_names(spark):
+    rows = [(k, "some words " * k, 9.0) for k in range(9)] + [(3, "some words " * 3, 9.0), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    trees = quality.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
+    got = quality.score_documents(df, trees)
+    assert got.columns == [*df.columns, "score_"] and count_of(got, "doc_id", "score") == collections.Counter((r[0], r[2]) for r in rows)
+
+
+def _plain_tree(x, y, start, rate, rounds):
+    """Boosted stumps by trying every cut between values: (feature, cut, left, right) and scores."""
+    score, out = np.full(len(y), start), []
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+        best = (1e-12, 0, np.inf)
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= cut
+                if min(left.sum(), (~left).sum()) >= quality.LEAST:
+                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + quality.L2) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + quality.L2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, cut)
+        left = x[:, best[1]] <= best[2]
+        value = [-rate * g[s].sum() / (h[s].sum() + quality.L2) for s in (left, ~left)]
+        score += np.where(left, *value)
+        out.append((*best[1:], *value))
+    return out, score
+
+
+def test_trees_are_a_plain_split_search():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 12, (80, 3)).astype(float)  # fewer values than bins: cuts are exact
+    y = ((x[:, 1] > 5) ^ (rng.random(80) < 0.1)).astype(float)
+    trees = quality.BoostedTrees.fit(x, y, trees=6, depth=1)
+    want, score = _plain_tree(x, y, trees.start, quality.RATE, 6)
+    assert [int(f[0]) for f in trees.feature] == [w[0] for w in want]
+    assert np.allclose(trees.score(x), 1 / (1 + np.exp(-score)), atol=1e-9)
+    deep = quality.BoostedTrees.fit(x, y)
+    for r, got in zip(x, deep.score(x), strict=True):  # one row at a time down each tree
+        total = deep.start
+        for feature, cut, value in zip(deep.feature, deep.cut, deep.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(r[feature[node]] > cut[node])
+            total += value[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 # pipeline
 
 
+def test_pipeline_stages_are_a_plain_version(spark, docs, rows, tik):
+    """Each stage on its own input, as rows in Python."""
+    import corpus_pipeline
+
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    assert list(stages) == ["language_id", "line_dedup", "near_duplicates", "mix", "encode"]
+
+    def run(name, at):
+        out = common.materialize(stages[name](spark, at, ""), "test")
+        assert name == "encode" or out.columns == columns
+        return out, [tuple(r) for r in out.collect()]
+
+    notice = [(1000 + k, f"Shared notice of all sites here.\nown words number {k} of this page", "en", f"site{k}", 50, "k", "s", "z", "c") for k in range(12)]
+    at = spark.createDataFrame(rows + notice, DOCS).repartition(4)
+    have = [tuple(r) for r in at.collect()]
+    trees = language.fit(at)
+    names, scores = trees.predict([r[1] for r in have])
+    at, got = run("language_id", at)
+    want = [r for r, n, x in zip(have, names, scores, strict=True) if n != "und" and x >= corpus_pipeline.LEAST_SCORE]
+    assert collections.Counter(got) == collections.Counter(want) and {r[1] for r in have} - {r[1] for r in got} >= {None, "", "  \n\t ", "?! 123 --"}
+
+    sites = collections.defaultdict(set)
+    for r in got:
+        for x in {x.strip() for x in r[1].split("\n")} - {""}:
+            sites[x].add(r[3])
+    want = collections.Counter()
+    for r in got:
+        kept = [x for x in r[1].split("\n") if len(sites.get(x.strip(), ())) < 10]
+        text = "\n".join(kept) if any(x.strip() for x in kept) else r[1]
+        want[(r[0], text, r[2], r[3], len(text), *r[5:])] += 1
+    at, got = run("line_dedup", at)
+    assert collections.Counter(got) == want and not any("Shared notice" in r[1] for r in got)
+
+    own = [(k, r[1]) for k, r in enumerate(got)]
+    group = collections.defaultdict(list)
+    for k, (_, _, c) in enumerate(_classes(own, _sets(own))):
+        group[c].append(k)
+    want = [min((got[k][0] is None, got[k][0] or 0) for k in x) for x in group.values()]
+    before = set(got)
+    at, got = run("near_duplicates", at)
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == sorted(want) and set(got) <= before
+
+    word, whole = re.compile(mixing.WORD), {(r[0], r[3]): r[1] for r in got}
+    sizes, taken, each = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in got:
+        sizes[r[3]] += len(word.findall(r[1]))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    at, got = run("mix", at)
+    for r in got:
+        n = len(word.findall(r[1]))
+        taken[r[3]] += n
+        each[r[0], r[3]] += n
+        assert r[4] == len(r[1]) and collections.Counter(word.findall(r[1])) <= collections.Counter(word.findall(whole[r[0], r[3]]))
+    assert all(abs(taken[s] - goal[s]) <= 2 * mixing.BLOCK for s in order)
+    assert all(n <= 2 * len(word.findall(whole[k])) for k, n in each.items())
+
+    want = collections.Counter((r[0], *_want(tik, r[1])) for r in got)
+    out, _ = run("encode", at)
+    assert count_of(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_pipeline_without_languages(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "words here", None, "a", 10), (2, "12 !", None, "a", 4), (3, None, None, "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()] == [1]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op3_embedding_near_dedup", "op4_exact_top_k", "op7_line_dedup", "op9_url_filters"])
+def test_query_is_its_sql(spark, name):
+    import duckdb
+
+    from gridtrack.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SMALL), con.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert collections.Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == collections.Counter(want.fetchall())
+
+
+def test_queries_without_sql(spark, tik):
+    from gridtrack.llm import queries
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    ids = collections.Counter(d for d, _, _ in docs)
+    run = lambda name: queries.QUERIES[name](spark, SMALL)
+    assert count_of(run("op2_byte_bpe"), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == collections.Counter((d, *_want(tik, t)) for d, t, _ in docs)
+    assert count_of(run("op5_jaccard_join"), "doc_id", "n_shingles", "component_id") == collections.Counter(_classes(docs, _sets(docs)))
+    tok, start, want = tokenfile._tokenizer(P.path("word_bpe_49k.json")), 0, collections.Counter()
+    for d, t, _ in sorted(docs):
+        coded = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want[d, start, len(coded), zlib.crc32(np.array(coded, "<u4").tobytes())] += 1
+        start += len(coded)
+    assert count_of(run("op6_token_files"), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    for name, m, rest in (("op8_language_id", 4, 2), ("op10_quality_classifier", 3, 1)):
+        assert count_of(run(name), "doc_id", "held_out") == collections.Counter((d, zlib.crc32(str(d).encode()) % m == rest) for d, _, _ in docs)
+    pred, held = {r["doc_id"]: r["lang_pred"] for r in run("op8_language_id").collect()}, [(d, x) for d, t, x in docs if x and t and zlib.crc32(str(d).encode()) % 4 == 2]
+    assert np.mean([pred[d] == x for d, x in held]) > 0.95
+    mixed = run("op1_mix_sources").collect()
+    assert collections.Counter(r["doc_id"] for r in mixed) == ids and all(r["taken"] <= 2 * r["size"] for r in mixed)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
