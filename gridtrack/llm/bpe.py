@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 #: Characters between chunk starts, and characters that neighbouring chunks share.
 CHUNK, OVERLAP = 16_384, 1_024
@@ -130,7 +130,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     codec = lambda: _codec(path, pattern)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
-    short = rows.where(~long).mapInPandas(_whole(codec), RESULT)
+    short = rows.where(~long).mapInPandas(lean(_whole(codec)), RESULT)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,16 +152,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
         return pd.DataFrame([(key[0], key[1], *found)] * copies, columns=["doc_id", "key", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
 
     keyed = rows.where(long).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    parts = keyed.mapInPandas(cut, "doc_id long, key long, k long, n long, text string")
+    parts = keyed.mapInPandas(lean(cut), "doc_id long, key long, k long, n long, text string")
     parts = parts.repartition("doc_id", "key", "k")
-    coded = parts.mapInPandas(encode, "doc_id long, key long, k long, n long, left_at array<long>, left_ids array<binary>, inner binary, right_at array<long>, right_ids array<binary>")
+    coded = parts.mapInPandas(lean(encode), "doc_id long, key long, k long, n long, left_at array<long>, left_ids array<binary>, inner binary, right_at array<long>, right_ids array<binary>")
     stitched = materialize(coded.groupBy("doc_id", "key").applyInPandas(join, f"key long, {RESULT}"), "stitched")
     out = short.unionByName(stitched.where("ids_sha256 is not null").drop("key"))
     apart = stitched.where("ids_sha256 is null").select("doc_id", "key").distinct()
     if not apart.isEmpty():
         apart = apart.toDF("_doc_id", "_key")
         again = keyed.join(apart, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("key") == F.col("_key")), "left_semi")
-        out = out.unionByName(again.select("doc_id", "text").mapInPandas(_whole(codec), RESULT))
+        out = out.unionByName(again.select("doc_id", "text").mapInPandas(lean(_whole(codec)), RESULT))
     return out
 
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/gridtrack-{app}"
 
 
-def tune(spark: SparkSession, rows: int = 1000, size: str = "16m") -> SparkSession:
+def tune(spark: SparkSession, rows: int = 1000, size: str = "4m") -> SparkSession:
     """Arrow batches of fewer rows and bytes than Spark's defaults, as rows here are whole texts, for this session;
     settings of one's own stay."""
     for key, default, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
@@ -72,6 +76,20 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task; then the Python worker, which serves further stages, gives back to the system
+    what its allocators hold but don't use."""
+
+    def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return out
+
+
 def row_key(docs: DataFrame):
     """A hash of all columns of a row; maps, which Spark doesn't hash, by their text, and nulls, which add nothing, by
     their places."""

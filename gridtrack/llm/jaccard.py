@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, materialize, row_key, tune
+from .common import components, fresh, lean, materialize, row_key, tune
 
 WIDTH, PERCENT = 5, 75
 #: Cells of the frequency sketch (4 MB, a byte each), in as many parts; postings in a bucket.
@@ -25,7 +25,7 @@ LONG = 100_000
 #: Members of a block of an index list: block pairs are skipped or judged as a whole.
 BLOCK = 512
 #: What a Python worker holds: hashes of words (each of at most 32 bytes), members counted or sent at once.
-CACHE, HASHES, HELD = 100_000, 250_000, 500_000
+CACHE, HASHES, HELD = 100_000, 250_000, 250_000
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NONE = np.zeros(0, np.uint64)
 #: What a text with words has: a character that ``bytes.split`` doesn't take as white space.
@@ -111,7 +111,7 @@ def _scan(rows: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(zlib.decompress(x), np.uint32)
         return pd.DataFrame({"part": [key[0]], "cells": [np.minimum(8 * np.log2(1.0 + total), 255).astype(np.uint8).tobytes()]})
 
-    scanned = materialize(rows.mapInPandas(run, "doc_id long, n long, sig long, part int, cells binary"), "shingled")
+    scanned = materialize(rows.mapInPandas(lean(run), "doc_id long, n long, sig long, part int, cells binary"), "shingled")
     sketch = np.zeros((PARTS, CELLS // PARTS), np.uint8)
     for r in scanned.where("part >= 0").select("part", "cells").groupBy("part").applyInPandas(add, "part int, cells binary").collect():  # 4 MB, whatever the input
         sketch[r["part"]] = np.frombuffer(r["cells"], np.uint8)
@@ -167,7 +167,7 @@ def _postings(rows: DataFrame, shared, mean: int, buckets: int, width: int, perc
         if held:
             yield flush()
 
-    return rows.mapInPandas(run, "bucket long, dealt boolean, token binary, sig binary, n binary, pos binary")
+    return rows.mapInPandas(lean(run), "bucket long, dealt boolean, token binary, sig binary, n binary, pos binary")
 
 
 _PAIR = "a long, b long, na long, nb long, shared long, first boolean, fit boolean"
@@ -343,7 +343,7 @@ def _sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) ->
             out = pd.DataFrame({"sig": pd.array([_sign(x) for x in sets], "Int64"), "members": [x.tobytes() for x in sets], "is_a": hits[0][any_hit], "is_b": hits[1][any_hit]})
             yield out[out["sig"].notna()]
 
-    out = materialize(found.mapInPandas(run, "sig long, members binary, is_a boolean, is_b boolean"), "sets")
+    out = materialize(found.mapInPandas(lean(run), "sig long, members binary, is_a boolean, is_b boolean"), "sets")
     if shared is not None:
         shared.destroy()
     return out
@@ -365,7 +365,7 @@ def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -
 
     # both sides grow with the input: never a broadcast, whatever their size looks like
     joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "na", "nb", "ma", "mb")
-    return joined.mapInPandas(run, "a long, b long, na long, nb long, common long").distinct()
+    return joined.mapInPandas(lean(run), "a long, b long, na long, nb long, common long").distinct()
 
 
 def similar(percent: int = PERCENT):
@@ -480,7 +480,7 @@ def _open(members: DataFrame, group: DataFrame, checked: DataFrame, percent: int
             if out:
                 yield pd.concat(out)
 
-    pairs = meet.mapInPandas(run, "a long, b long, na long, nb long, sure boolean").groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure"))
+    pairs = meet.mapInPandas(lean(run), "a long, b long, na long, nb long, sure boolean").groupBy("a", "b", "na", "nb").agg(F.max("sure").alias("sure"))
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, row_key
+from .common import fresh, lean, materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -125,7 +125,7 @@ class Mix:
         self.sources = spark.createDataFrame(list(zip(range(len(order)), order, sizes, goal, strict=True)), "src long, source string, source_size long, target double")
         ranges = spark.createDataFrame(ranges, "shard long, src long, blocks long, first long, n long, seed long").repartition(max(1, min(shards, 1000)))
         #: (shard, src, turn, block): the mix, one row per output slot
-        self.slots = ranges.mapInPandas(_slots, "shard long, src long, turn long, block long")
+        self.slots = ranges.mapInPandas(lean(_slots), "shard long, src long, turn long, block long")
         self.packed = self._pack(max(1, rows // BUCKET))
 
     def _pack(self, buckets: int) -> DataFrame:
@@ -193,7 +193,7 @@ class Mix:
                         out.append((*row[:at], part, *row[at + 1 :]))
                 yield pd.DataFrame(out, columns=names, dtype=object) if out else pd.DataFrame(columns=names)
 
-        mixed = rows.join(hit, key).drop(key).mapInPandas(cut, self.docs.schema)
+        mixed = rows.join(hit, key).drop(key).mapInPandas(lean(cut), self.docs.schema)
         return mixed.withColumn(n_chars, F.length(text).cast(self.docs.schema[n_chars].dataType)) if n_chars else mixed
 
 
