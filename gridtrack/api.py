@@ -99,9 +99,12 @@ class SimpleTracker(_Base):
     def track(self, spark, path, var, mode="min", threshold=None, size=5, filter=True, lmin=LMIN, lmax=LMAX, taper=0, map_proj="global", resolution=100.0, extent=(-13000.0, 13000.0, -13000.0, 13000.0), start=None, end=None, first=None, engine=None, **_) -> DataFrame:
         frames, ready, shape, lat, lon, limit = self._prepare(spark, path, var, mode, threshold, filter, lmin, lmax, taper, map_proj, resolution, extent, start, end, first, engine)
         centers = kernels.detect_frames(ready, shape, lat, lon, size, limit, mode, periodic=not map_proj.endswith("stereo"))
-        centers = self._degrees(centers, map_proj).persist()
-        steps = ready.select("t").join(centers.groupBy("t").agg(F.count("*").alias("n")), "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("n"))
-        return _points(link(centers, steps), frames)
+        centers = self._degrees(centers, map_proj)
+        times = {r["time"]: r["t"] for r in frames.select("t", "time").collect()} if start is not None or end is not None else {}  # one row a frame
+        # the range that the user gave, in frame numbers
+        first_t = min(times.values(), default=None) if start is not None else None
+        last_t = max(times.values(), default=None) if end is not None else None
+        return _points(link(centers, frames.select("t"), start=first_t, end=last_t), frames)
 
 
 class ExchangeTracker(_Base):

@@ -95,6 +95,16 @@ def adaptive_limit(distance, table: list[list[float]], default: float) -> Column
     return out.otherwise(F.lit(float(ys[-1])))
 
 
+def zone_limit(lat, lon, zones: list[list[float]], default: float) -> Column:
+    """The last of the first zone (lon_min, lon_max, lat_min, lat_max, limit) that holds a point; a zone may cross 0 degrees."""
+    lat, lon, out = col(lat), col(lon), None
+    for lo, hi, south, north, limit in zones:
+        inside = lon.between(lo, hi) if lo <= hi else (lon >= lo) | (lon <= hi)
+        hit = inside & lat.between(south, north)
+        out = F.when(hit, F.lit(limit)) if out is None else out.when(hit, F.lit(limit))
+    return F.lit(float(default)) if out is None else out.otherwise(F.lit(float(default)))
+
+
 def smoothness_cost(p0: tuple, p1: tuple, p2: tuple, w1: float = 0.2, w2: float = 0.8) -> Column:
     """Change of direction and of speed along three points (lat, lon), 0 for steady motion.
 

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Pairs of rows whose exchange is judged at once: a few dozen MB.
+PAIRS = 500_000
 # Standard search zones (lon_min, lon_max, lat_min, lat_max, degrees) and adaptive smoothness knots.
 ZONES = [[0.0, 360.0, -90.0, -20.0, 6.5], [0.0, 360.0, -20.0, 20.0, 3.0], [0.0, 360.0, 20.0, 90.0, 6.5]]
 ADAPT = [[1.0, 2.0, 5.0, 8.0], [1.0, 0.3, 0.1, 0.0]]
@@ -139,28 +141,54 @@ class Exchange:
         return ~bad
 
     def best_swap(self, m: np.ndarray, k: int, ahead: bool) -> tuple[int, int] | None:
+        """Rows whose points at the frame beyond k, when exchanged, lower the cost most; the first such pair.
+
+        Only rows with a point in the three frames around k can differ: of the rows without one, which are alike but
+        for their gaps, the first of each kind stands for all. Pairs out of reach of each other are left out before
+        any cost is computed, and costs are computed for ``PAIRS`` pairs at a time.
+        """
         target = k + 1 if ahead else k - 1
-        x = m[:, target]
-        own, row = m[:, k][:, None], x[None, :]
-        if ahead:
-            now = self.cost(m[:, k - 1], m[:, k], x)
-            then = self.cost(m[:, k - 1][:, None], own, row)
-            smooth = self.smooth(m[:, k - 1][:, None], own, row, then)
-        else:
-            now = self.cost(x, m[:, k], m[:, k + 1])
-            then = self.cost(row, own, m[:, k + 1][:, None])
-            smooth = self.smooth(row, own, m[:, k + 1][:, None], then)
         fill = []
         for value in (0, -1):  # a row with a point at the target, and without one
             with_ = m.copy()
             with_[:, target] = value
             fill.append(self.gaps_ok(with_))
-        fits = np.where(row >= 0, fill[0][:, None], fill[1][:, None]) & self.near(own, row) & smooth
-        gain = now[:, None] + now[None, :] - then - then.T
-        gain = np.where(fits & fits.T & (x[:, None] != x[None, :]) & np.triu(np.ones(gain.shape, bool), 1), gain, 0)
-        if not gain.size or gain.max() <= 1e-8:
-            return None
-        return divmod(int(gain.argmax()), len(m))
+        live = (m[:, k - 1 : k + 2] >= 0).any(1)
+        empty = np.flatnonzero(~live)
+        _, firsts = np.unique(np.stack([f[empty] for f in fill], 1), axis=0, return_index=True)
+        rows = np.sort(np.concatenate([np.flatnonzero(live), empty[firsts]]))
+        fill = [f[rows] for f in fill]
+        m = m[rows]
+        own, x = m[:, k], m[:, target]
+        best, found = 1e-8, None
+        now = self.cost(m[:, k - 1], own, x) if ahead else self.cost(x, own, m[:, k + 1])
+        half = max(1, PAIRS // max(1, len(rows)))
+        for lo in range(0, len(rows), half):
+            one = np.arange(lo, min(lo + half, len(rows)))
+            ok = (x[one][:, None] != x[None, :]) & (one[:, None] < np.arange(len(rows))[None, :])
+            ok &= np.where(x[None, :] >= 0, fill[0][one][:, None], fill[1][one][:, None]) & np.where(x[one][:, None] >= 0, fill[0][None, :], fill[1][None, :])
+            ok &= self.reach(own[one], x) & self.reach(own, x[one]).T
+            i, j = np.nonzero(ok)
+            i = one[i]
+            if not len(i):
+                continue
+            if ahead:
+                ends = (m[i, k - 1], own[i], x[j]), (m[j, k - 1], own[j], x[i])
+            else:
+                ends = (x[j], own[i], m[i, k + 1]), (x[i], own[j], m[j, k + 1])
+            then = [self.cost(*e) for e in ends]
+            gain = now[i] + now[j] - then[0] - then[1]
+            gain = np.where(self.smooth(*ends[0], then[0]) & self.smooth(*ends[1], then[1]), gain, 0)
+            at = int(gain.argmax())
+            if gain[at] > best:
+                best, found = gain[at], (int(rows[i[at]]), int(rows[j[at]]))
+        return found
+
+    def reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``near`` for every pair of two lists, as a matrix."""
+        with np.errstate(invalid="ignore"):
+            far = np.arccos(np.clip(self.p[a] @ self.p[b].T, -1, 1)) > 0.5 * (self.limit[a][:, None] + self.limit[b][None, :])
+        return ~far | (a < 0)[:, None] | (b < 0)[None, :]
 
     def cut(self, m: np.ndarray, row: int, k: int, ahead: bool) -> np.ndarray:
         """Move what lies beyond frame k to a new row if the step from k is too long."""

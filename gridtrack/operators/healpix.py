@@ -143,9 +143,8 @@ def healpix_detect(frames: DataFrame, threshold: float, mode: str = "min", min_p
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t, vals in zip(b["t"], b["vals"], strict=True):
-                rows = [(t, k, *x) for k, x in enumerate(detect_map(np.asarray(vals, float), threshold, mode, min_points))]
-                yield pd.DataFrame(rows, columns=["t", "c_idx", "pixel", "label", "lat", "lon", "v"])
+            rows = [(t, k, *x) for t, vals in zip(b["t"], b["vals"], strict=True) for k, x in enumerate(detect_map(np.asarray(vals, float), threshold, mode, min_points))]
+            yield pd.DataFrame(rows, columns=["t", "c_idx", "pixel", "label", "lat", "lon", "v"])
 
     kind = frames.schema["t"].dataType.simpleString()
     return frames.select("t", "vals").mapInPandas(run, f"t {kind}, c_idx int, pixel int, label int, lat double, lon double, v double")

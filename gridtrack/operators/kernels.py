@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 
 from .objects import label_mask
 
-MOST_CENTERS = 10_000
-
 
 def _window_min(w: np.ndarray, h: int, periodic: bool) -> np.ndarray:
     """Least value in the square around each cell, rows cut at the edge, columns wrapped if periodic."""
@@ -46,8 +44,9 @@ def extrema(frame: np.ndarray, size: int = 5, threshold: float = 0.0, mode: str
     return out
 
 
-def centers(frame: np.ndarray, size: int = 5, threshold: float = 0.0, mode: str = "min", periodic: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of extrema with the strongest Laplacian in their 5 x 5 square, in row order."""
+def centers(frame: np.ndarray, size: int = 5, threshold: float = 0.0, mode: str = "min", periodic: bool = True, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of extrema with the strongest Laplacian in their 5 x 5 square, in row order; the first ``most``
+    of them if that is given."""
     w = _filled(frame, mode)
     i, j = np.nonzero(extrema(frame, size, threshold, mode, periodic))
     if not len(i):
@@ -68,7 +67,7 @@ def centers(frame: np.ndarray, size: int = 5, threshold: float = 0.0, mode: str
                     ok &= (j + dj >= 0) & (j + dj < cols)
                 a = np.clip(a, 0, rows - 1)
                 keep &= ~(ok & ((score[a, b] > np.abs(lap)) | ((score[a, b] == np.abs(lap)) & (order[a, b] < i * cols + j))))
-    return i[keep][:MOST_CENTERS], j[keep][:MOST_CENTERS]
+    return i[keep][:most], j[keep][:most]
 
 
 def object_extrema(frame: np.ndarray, size: int, threshold: float, mode: str, min_points: int, periodic: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,19 +107,21 @@ def refine(frame: np.ndarray, i: np.ndarray, j: np.ndarray, lat: np.ndarray, lon
 def _map(frames: DataFrame, shape: tuple[int, int], find) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t, vals in zip(b["t"], b["vals"], strict=True):
-                lat, lon, v = find(np.asarray(vals, float).reshape(shape))
-                yield pd.DataFrame({"t": t, "c_idx": np.arange(len(v)), "lat": lat, "lon": lon, "v": v})
+            found = [find(np.asarray(vals, float).reshape(shape)) for vals in b["vals"]]
+            n = [len(v) for _, _, v in found]
+            lat, lon, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+            index = np.concatenate([np.arange(c) for c in n]) if n else np.zeros(0, int)
+            yield pd.DataFrame({"t": b["t"].repeat(n).to_numpy(), "c_idx": index, "lat": lat, "lon": lon, "v": v})
 
     kind = frames.schema["t"].dataType.simpleString()
     return frames.select("t", "vals").mapInPandas(run, f"t {kind}, c_idx int, lat double, lon double, v double")
 
 
-def detect_frames(frames: DataFrame, shape, lat, lon, size: int = 5, threshold: float = 0.0, mode: str = "min", periodic: bool = True) -> DataFrame:
-    """(t, c_idx, lat, lon, v): local extrema of frames (t, vals)."""
+def detect_frames(frames: DataFrame, shape, lat, lon, size: int = 5, threshold: float = 0.0, mode: str = "min", periodic: bool = True, most: int | None = None) -> DataFrame:
+    """(t, c_idx, lat, lon, v): local extrema of frames (t, vals); at most ``most`` a frame if that is given."""
 
     def find(f):
-        i, j = centers(f, size, threshold, mode, periodic)
+        i, j = centers(f, size, threshold, mode, periodic, most)
         return lat[i], lon[j], f[i, j]
 
     return _map(frames, shape, find)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..sources.fields import Grid, clean
 
-MOST_CENTERS = 10_000
 INF = float("inf")
 
 
@@ -96,7 +95,7 @@ def drop_duplicates(centers: DataFrame, grid: Grid, size: int = 5) -> DataFrame:
     return c.join(beaten.select("t", "i", "j").distinct(), ["t", "i", "j"], "left_anti")
 
 
-def number_centers(centers: DataFrame, most: int | None = MOST_CENTERS) -> DataFrame:
+def number_centers(centers: DataFrame, most: int | None = None) -> DataFrame:
     """``c_idx`` from 0 by frame in row order; a frame keeps its first ``most``."""
     out = centers.withColumn("c_idx", F.row_number().over(Window.partitionBy("t").orderBy("i", "j")) - 1)
     return out if most is None else out.where(F.col("c_idx") < most)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import arc_km, haversine_km, lon_gap
+from ..storage import written
 
 
 def by_track():
@@ -117,17 +118,17 @@ def splice(chunks: DataFrame, tolerance: float = 1e-5, overlap_aware: bool = Tru
     """
     from .linking import label_chains
 
-    key = F.struct("chunk", "track_id")
+    chunks = written(chunks, "chunk-tracks")
     last = chunks.groupBy("chunk", "track_id").agg(F.max(F.struct("t", "lat", "lon")).alias("e"))
     last = last.select((F.col("chunk") + 1).alias("chunk"), "e.t", F.col("track_id").alias("from_id"), F.col("e.lat").alias("_la"), F.col("e.lon").alias("_lo"))
     entry = chunks if overlap_aware else chunks.where("step = 1")
     hit = entry.join(last, ["chunk", "t"]).where((F.abs(F.col("lat") - F.col("_la")) < tolerance) & (F.abs(F.col("lon") - F.col("_lo")) < tolerance))
     one = hit.groupBy("chunk", "from_id").agg(F.min("track_id").alias("track_id")).groupBy("chunk", "track_id").agg(F.min("from_id").alias("from_id"))
-    code = lambda c, i: F.col(c) * 10_000_000 + F.col(i)
-    edges = one.select(((F.col("chunk") - 1) * 10_000_000 + F.col("from_id")).cast("long").alias("a"), code("chunk", "track_id").cast("long").alias("b"))
-    nodes = chunks.select(code("chunk", "track_id").cast("long").alias("cid")).distinct()
+    code = lambda c, i: F.shiftleft(c.cast("long"), 40) + F.col(i)
+    edges = one.select(code(F.col("chunk") - 1, "from_id").alias("a"), code(F.col("chunk"), "track_id").alias("b"))
+    nodes = chunks.select(code(F.col("chunk"), "track_id").alias("cid"), F.col("chunk").cast("long").alias("at")).distinct()
     root = label_chains(nodes, edges)
-    joined = chunks.withColumn("cid", code("chunk", "track_id").cast("long")).join(root, "cid")
+    joined = chunks.withColumn("cid", code(F.col("chunk"), "track_id")).join(root, "cid")
     order = Window.partitionBy(F.lit(0)).orderBy("root")
     ids = joined.select("root").distinct().select("root", F.row_number().over(order).cast("long").alias("new_id"))
     out = joined.join(ids, "root").select(F.col("new_id").alias("track_id"), "t", "lat", "lon", "v")

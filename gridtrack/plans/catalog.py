@@ -335,17 +335,8 @@ def stereo_inverse(spark, sf):
   SELECT e.pos, z.k, z.d FROM e LEFT JOIN z ON lat BETWEEN s AND n AND CASE WHEN lo <= hi THEN lon BETWEEN lo AND hi ELSE lon >= lo OR lon <= hi END)
 SELECT pos, coalesce(arg_min(d, k), 5.0)::DOUBLE AS dmax FROM m GROUP BY pos""")
 def zone_dmax(spark, sf):
-    return zone_limit(fields.track_points(spark, sf), [[30.0, 300.0, -90.0, -20.0, 6.5], [0.0, 360.0, -20.0, 20.0, 3.0], [300.0, 60.0, -90.0, 90.0, 9.0]], 5.0).select("pos", "dmax")
-
-
-def zone_limit(points: DataFrame, zones: list[list[float]], default: float) -> DataFrame:
-    """``dmax`` of the first zone that holds each point; a handful of zones is part of the expression."""
-    out = None
-    for lo, hi, south, north, limit in zones:
-        lon = F.col("lon").between(lo, hi) if lo <= hi else (F.col("lon") >= lo) | (F.col("lon") <= hi)
-        hit = lon & F.col("lat").between(south, north)
-        out = F.when(hit, F.lit(limit)) if out is None else out.when(hit, F.lit(limit))
-    return points.withColumn("dmax", F.lit(default) if out is None else out.otherwise(F.lit(default)))
+    zones = [[30.0, 300.0, -90.0, -20.0, 6.5], [0.0, 360.0, -20.0, 20.0, 3.0], [300.0, 60.0, -90.0, 90.0, 9.0]]
+    return fields.track_points(spark, sf).select("pos", geo.zone_limit("lat", "lon", zones, 5.0).alias("dmax"))
 
 
 @query(f"""WITH {E} SELECT pos, round(CASE WHEN d < 1 THEN 1.0 WHEN d < 2 THEN 1.0 - 0.7 * (d - 1) WHEN d < 5 THEN 0.3 - 0.2 / 3 * (d - 2) WHEN d < 8 THEN 0.1 - 0.1 / 3 * (d - 5) ELSE 0.0 END::DOUBLE, 6) AS phimax

@@ -59,9 +59,13 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def to_frames(cells: DataFrame, grid: Grid) -> DataFrame:
     """(t, vals): frames in row order, missing cells null."""
-    at = F.col("i") * grid.nlon + F.col("j")
-    m = cells.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col("v").alias("v")))).alias("m"))
-    return m.select("t", F.transform(F.sequence(F.lit(0), F.lit(grid.nlat * grid.nlon - 1)), lambda k: F.element_at(F.col("m"), k)).alias("vals"))
+    at, size = F.col("i") * grid.nlon + F.col("j"), grid.nlat * grid.nlon
+    m = cells.groupBy("t").agg(F.sort_array(F.collect_list(F.struct(at.alias("k"), F.col("v").alias("v")))).alias("m"))
+    # sorted cells; between two, as many nulls as are missing
+    ends = F.concat(F.transform("m", lambda x: x["k"]), F.array(F.lit(size)))
+    gap = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    parts = F.transform("m", lambda x, k: F.concat(F.array(x["v"]), gap((F.get(ends, k + 1) - x["k"] - 1).cast("int"))))
+    return m.select("t", F.concat(gap(F.get(ends, F.lit(0)).cast("int")), F.flatten(parts)).alias("vals"))
 
 
 def to_cells(frames: DataFrame, grid: Grid, vals: str = "vals") -> DataFrame:
