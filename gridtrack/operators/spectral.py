@@ -213,6 +213,18 @@ def map_frames(frames: DataFrame, f: Callable[[np.ndarray], np.ndarray], shape:
     return frames.mapInPandas(run, frames.schema)
 
 
+def frames_of(rows: DataFrame, nlat: int, nlon: int, basis: Callable, names: list[str]) -> DataFrame:
+    """(t, vals): frames that are sums of fields given at unit vectors (x, y, z) of the grid, weighted by the columns ``names``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        theta, phi = np.linspace(0, np.pi, nlat)[:, None], (np.arange(nlon) * 2 * np.pi / nlon)[None, :]
+        parts = np.stack([np.broadcast_to(b, (nlat, nlon)).ravel() for b in basis(np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta) + 0 * phi)])
+        for b in batches:
+            yield pd.DataFrame({"t": b["t"], "vals": list(b[names].to_numpy(float) @ parts)})
+
+    return rows.mapInPandas(run, f"t {rows.schema['t'].dataType.simpleString()}, vals array<double>")
+
+
 def spectral_filter(frames: DataFrame, shape: tuple[int, int], lmin: int = 5, lmax: int = 42, north_first: bool = True) -> DataFrame:
     """Band-pass of frames; rows keep their order, whichever pole is first."""
     flip = slice(None) if north_first else slice(None, None, -1)
