@@ -29,12 +29,11 @@ def _packed(m: np.ndarray) -> tuple[str, bytes]:
     return np.dtype(kind).str, m.astype(kind).tobytes()
 
 
-def _inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of integral doubles, as integers."""
-    if len(c) and len(q) and float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1] < 2.0**53:
-        return (c @ q).astype(np.int64)
-    whole = lambda x: np.array([[int(v) for v in r] for r in np.atleast_2d(x)], object)
-    return np.array([int((r * whole(q)[0]).sum()) for r in whole(c)], object)
+def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of integral doubles, pair by pair, as integers."""
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+        return (a * b).sum(1).astype(np.int64)
+    return np.array([sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for r, s in zip(a, b, strict=True)], object)
 
 
 class Cells:
@@ -185,7 +184,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            exact = [_inner(np.frombuffer(a, t).astype(np.float64), np.frombuffer(b, u).astype(np.float64)[None])[0] for a, t, b, u in zip(batch["qd"], batch["qk"], batch["data"], batch["kind"], strict=True)]
+            exact = np.zeros(len(batch), object)
+            like = batch.assign(at=np.arange(len(batch)), n=[len(x) for x in batch["qd"]]).groupby(["qk", "kind", "n"])
+            for (t, u, _), part in like:
+                a, b = (np.frombuffer(b"".join(part[c]), x).reshape(len(part), -1).astype(np.float64) for c, x in (("qd", t), ("data", u)))
+                exact[part["at"]] = _inner(a, b)
             yield batch[["q", "query_id", "row", "vec_id"]].assign(score=[max(-_LONG - 1, min(_LONG, int(x))) for x in exact], size=[float(max(-_HUGE, min(_HUGE, int(x)))) for x in exact], tail=["" if -_LONG <= x <= _LONG else f"{int(x) + (1 << 2200):x}" for x in exact])
 
     own = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("kind").alias("qk"), F.col("data").alias("qd"))
