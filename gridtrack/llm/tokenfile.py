@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
-#: Ids after which a shard is closed, and words whose ids a Python worker remembers.
-SHARD_IDS, CACHE = 4_000_000, 250_000
+#: Ids after which a shard is closed, words whose ids a Python worker remembers, and the most characters of such a word.
+SHARD_IDS, CACHE, LONG_WORD = 4_000_000, 1_000_000, 64
 #: Bytes of input of a part of the files, about.
 PART_BYTES = 256 << 20
 END = 1
@@ -153,19 +154,42 @@ class WordEncoder:
 
     Holds for tokenizers that drop white space before merging, as this vocabulary's does: no rule then crosses it.
     Texts with an added token's string or with the separators that Unicode and Python see differently go through
-    the tokenizer as a whole. Words of ASCII letters are one pre-token and may go to the merges directly, if the
-    tokenizer does that to a probe too.
+    the tokenizer as a whole. Letters of Latin-1 are one pre-token, as are the ASCII marks other than the apostrophe
+    before and after them, and may go to the merges directly, if the tokenizer does that to probes too.
     """
 
+    _WORD = re.compile("([!-&(-/:-@[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+
     def __init__(self, path: str):
         self.tok, self.cache = _tokenizer(path), _words.setdefault(path, {})
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         self.model = self.tok.model
-        probe = ["a", "The", "abcxyz", "Zzzzqj", "internationalisation", "ll", "S"]
+        # a character for each byte, as byte-level vocabularies have it: printable ones stand for themselves
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.marks: dict[str, bytes] = {"": b""}
+        probe = ["a", "The", "abcxyz", "Zzzzqj", "internationalisation", "ll", "S", "\u00c9t\u00e9s,", "(\u00df\u00f1\u00ff).", "\"x!?", *map(chr, range(0xC0, 0xD7)), *map(chr, range(0xD8, 0xF7)), *map(chr, range(0xF8, 0x100))]
         self.direct = all(self._merge(w) == self._encode(w) for w in probe)
 
-    def _merge(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+    def _merge(self, word: str) -> bytes | None:
+        """Ids of a word of letters with marks around it; None for any other."""
+        m = self._WORD.fullmatch(word)
+        if not m:
+            return None
+        before, letters, after = m.groups()
+        low = letters.lower()
+        if not low.isascii():
+            low = "".join(map(self.char.__getitem__, low.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+        return self._mark(before) + ids + self._mark(after) if before or after else ids
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            if len(self.marks) > 10_000 or len(mark) > LONG_WORD:
+                return self._encode(mark)
+            self.marks[mark] = self._encode(mark)
+        return self.marks[mark]
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -180,13 +204,18 @@ class WordEncoder:
         if new:
             rest = []
             for w in new:
-                if self.direct and w.isascii() and w.isalpha():
-                    cache[w] = self._merge(w)
-                else:
+                ids = self._merge(w) if self.direct else None
+                if ids is None:
                     rest.append(w)
+                else:
+                    cache[w] = ids
             for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 cache[w] = array("I", e.ids).tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        out = b"".join(map(cache.__getitem__, words))
+        for w in new:
+            if len(w) > LONG_WORD:
+                del cache[w]
+        return out
 
 
 def write_shards(docs: DataFrame, path: str, end: int = END, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

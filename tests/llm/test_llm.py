@@ -381,7 +381,7 @@ def test_token_files(docs, rows, size):
 
 def test_word_encoder_is_the_tokenizer():
     enc = tokenfile.WordEncoder(P.path("word_bpe_49k.json"))
-    for t in ["", "It's <|endoftext|> ok", "\u0130stanbul \u03a3\u03a3 e\u0301 \u00a0x\u2003y", "a\x1cb c\x1fd", "\u4e2d\u6587 don't WE'LL 12 3.4\n\n'S"]:
+    for t in ["", "It's <|endoftext|> ok", "\u0130stanbul \u03a3\u03a3 e\u0301 \u00a0x\u2003y", "a\x1cb c\x1fd", '("\u00c9cole!?" \u00dcber\u00df, na\u00efve... x-y (z) [\u00c5\u00d8\u00ff];: \u00d7\u00f7 e\u0301a, \u00e9\u0301 {a}~ `b` a\u00aab \u00b5m', "\u4e2d\u6587 don't WE'LL 12 3.4\n\n'S"]:
         assert np.frombuffer(enc(t), np.uint32).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
