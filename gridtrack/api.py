@@ -6,6 +6,7 @@ import math
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +66,26 @@ def preprocess(frames: DataFrame, shape: tuple[int, int], lmin: int = LMIN, lmax
     return (spectral.spectral_filter(frames, shape, lmin, lmax, north_first) if filter else frames), shape
 
 
-def _points(tracks: DataFrame, frames: DataFrame) -> DataFrame:
+def sample_at(centers: DataFrame, frames: DataFrame, shape: tuple[int, int], lat: np.ndarray, lon: np.ndarray, name: str) -> DataFrame:
+    """``centers`` with a column for another variable: its value in the cell nearest to each centre, null without one."""
+
+    def pick(c: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(c):
+            return c.assign(**{name: np.nan})
+        grid = np.asarray(f["vals"].iloc[0], float).reshape(shape)
+        i = np.abs(np.asarray(lat)[None, :] - c["lat"].to_numpy()[:, None]).argmin(1)
+        gap = np.abs(np.asarray(lon)[None, :] - c["lon"].to_numpy()[:, None]) % 360
+        return c.assign(**{name: grid[i, np.minimum(gap, 360 - gap).argmin(1)]})
+
+    spec = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in centers.schema)
+    out = centers.groupBy("t").cogroup(frames.select("t", "vals").groupBy("t")).applyInPandas(pick, f"{spec}, `{name}` double")
+    return out.where("lat is not null").withColumn(name, F.nanvl(name, F.lit(None)))
+
+
+def _points(tracks: DataFrame, frames: DataFrame, also: tuple = ()) -> DataFrame:
     """Track points with microseconds, as track operators and writers take them."""
     when = F.broadcast(frames.select("t", F.unix_micros(F.col("time").cast("timestamp")).alias("us")))  # one row a frame
-    return tracks.join(when, "t").select("track_id", "us", F.col("t").alias("pos"), "lat", "lon", "v")
+    return tracks.join(when, "t").select("track_id", "us", F.col("t").alias("pos"), "lat", "lon", "v", *also)
 
 
 class _Base:
@@ -96,15 +113,20 @@ class _Base:
 class SimpleTracker(_Base):
     """Local extrema linked by mutual nearest neighbours."""
 
-    def track(self, spark, path, var, mode="min", threshold=None, size=5, filter=True, lmin=LMIN, lmax=LMAX, taper=0, map_proj="global", resolution=100.0, extent=(-13000.0, 13000.0, -13000.0, 13000.0), start=None, end=None, first=None, engine=None, **_) -> DataFrame:
+    def track(self, spark, path, var, mode="min", threshold=None, size=5, filter=True, lmin=LMIN, lmax=LMAX, taper=0, map_proj="global", resolution=100.0, extent=(-13000.0, 13000.0, -13000.0, 13000.0), start=None, end=None, first=None, engine=None, also=(), **_) -> DataFrame:
+        """Points (track_id, us, pos, lat, lon, v) and a column for each variable of ``also``, sampled at the centres."""
         frames, ready, shape, lat, lon, limit = self._prepare(spark, path, var, mode, threshold, filter, lmin, lmax, taper, map_proj, resolution, extent, start, end, first, engine)
+        if also and (map_proj != "global" or not isinstance(path, str)):
+            raise ValueError("other variables are sampled on the grid of a file")
         centers = kernels.detect_frames(ready, shape, lat, lon, size, limit, mode, periodic=not map_proj.endswith("stereo"))
         centers = self._degrees(centers, map_proj)
+        for name in also:
+            centers = sample_at(centers, load(spark, path, name, start, end, first, engine), shape, lat, lon, name)
         times = {r["time"]: r["t"] for r in frames.select("t", "time").collect()} if start is not None or end is not None else {}  # one row a frame
         # the range that the user gave, in frame numbers
         first_t = min(times.values(), default=None) if start is not None else None
         last_t = max(times.values(), default=None) if end is not None else None
-        return _points(link(centers, frames.select("t"), start=first_t, end=last_t), frames)
+        return _points(link(centers, frames.select("t"), start=first_t, end=last_t), frames, tuple(also))
 
 
 class ExchangeTracker(_Base):

@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     band.add_argument("--filter-range")
     band.add_argument("--no-filter", action="store_true")
     t.add_argument("-n", "--num", type=int)
-    t.add_argument("-b", "--backend", help="accepted and ignored: the Spark master decides")
+    t.add_argument("-b", "--backend", choices=("serial", "mpi", "dask"), help="serial: one local core; others: the Spark master decides")
     t.add_argument("-w", "--workers", type=int, help="partitions")
     t.add_argument("-c", "--chunk-size", type=int, default=60)
     t.add_argument("--overlap", type=int, default=3)
@@ -75,7 +75,10 @@ def rules_of(a: argparse.Namespace) -> Rules:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    spark = session()
+    backend = getattr(a, "backend", None)
+    if backend in ("mpi", "dask"):
+        warnings.warn(f"backend {backend}: Spark's master decides how the work is spread", stacklevel=2)
+    spark = session(master="local[1]" if backend == "serial" else None)
     if a.command == "convert":
         points = (formats.read_imilast if a.source == "imilast" else formats.read_json)(spark, a.input)
         from .operators.tracks import infer_kind
@@ -96,5 +99,12 @@ def main(argv: list[str] | None = None) -> None:
     formats.write(points, a.output, a.var, a.format)
 
 
+def convert(argv: list[str] | None = None) -> None:
+    """``gridtrack-convert``: the convert command by itself."""
+    import sys
+
+    main(["convert", *(sys.argv[1:] if argv is None else argv)])
+
+
 if __name__ == "__main__":
     main()

@@ -1,11 +1,14 @@
-"""Gridded files as DataFrames: a Python data source over NetCDF-3 and Zarr v2, a partition for each run of frames.
+"""Gridded files as DataFrames: a Python data source over NetCDF, GRIB and Zarr v2, a partition for each run of frames.
 
-``spark.read.format("gridded").option("var", "msl").load(path)`` gives (t, time, nlat, nlon, vals). NetCDF-4 and GRIB
-need libraries that may be absent; asking for them then is a ValueError that names the library.
+``spark.read.format("gridded").option("var", "msl").load(path)`` gives (t, time, nlat, nlon, vals), a frame a row, sent
+as Arrow. Conditions on ``t`` and ``time`` choose the frames that are read. NetCDF-3 and Zarr with zlib or zstd chunks
+need nothing else; NetCDF-4 (h5py), GRIB (cfgrib), other chunk codecs (numcodecs) and remote paths (fsspec) need a
+library that may be absent; asking for them then is a ValueError that names it.
 """
 
 from __future__ import annotations
 
+import importlib
 import importlib.util
 import json
 import os
@@ -15,8 +18,9 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 # Names that variables and coordinates go by.
 VARIABLES = {"msl": ("msl", "slp"), "slp": ("msl", "slp"), "vo": ("vo",)}
@@ -24,16 +28,42 @@ COORDINATES = {"lat": ("latitude", "lat", "y"), "lon": ("longitude", "lon", "x")
 FRAMES = 16
 
 
+def _library(name: str, what: str):
+    try:
+        return importlib.import_module(name)
+    except ImportError:
+        raise ValueError(f"reading {what} needs the library {name}, which is not installed") from None
+
+
+def _remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
+def _open(path: str):
+    if not _remote(path):
+        return open(path.removeprefix("file://"), "rb")
+    return _library("fsspec", path).open(path, "rb", **({"anon": True} if path.startswith(("s3://", "gs://")) else {}))
+
+
+def _bytes(path: str) -> bytes | None:
+    """What a file holds; None if there is no such file."""
+    try:
+        with _open(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
 def engine_of(path: str, engine: str | None = None) -> str:
     """netcdf, zarr, netcdf4 or grib, from the file's own first bytes or its name."""
     if engine:
         return engine
-    if path.endswith(".zarr") or os.path.exists(os.path.join(path, ".zmetadata")):
+    if path.endswith(".zarr") or (not _remote(path) and os.path.exists(os.path.join(path, ".zmetadata"))):
         return "zarr"
     if path.endswith((".grib", ".grib2", ".grb")):
         return "grib"
-    if os.path.isfile(path):
-        with open(path, "rb") as f:
+    if _remote(path) or os.path.isfile(path):
+        with _open(path) as f:
             if f.read(4) == b"\x89HDF":
                 return "netcdf4"
     return "netcdf"
@@ -45,12 +75,38 @@ def open_file(path: str, engine: str | None = None):
         return Zarr(path)
     if kind == "netcdf":
         return NetCDF3(path)
-    need = {"grib": "cfgrib", "netcdf4": "h5py", "h5netcdf": "h5py"}.get(kind)
-    if need is None:
-        raise ValueError(f"unknown engine {kind}")
-    if importlib.util.find_spec(need) is None:
-        raise ValueError(f"reading {path} needs the library {need}, which is not installed")
-    raise ValueError(f"engine {kind} is not supported here")
+    if kind in ("netcdf4", "h5netcdf"):
+        return NetCDF4(path)
+    if kind in ("grib", "cfgrib"):
+        return Grib(path)
+    raise ValueError(f"unknown engine {kind}")
+
+
+class NetCDF4:
+    """Variables of a NetCDF-4 file, which is HDF5; only the frames asked for are read."""
+
+    def __init__(self, path: str):
+        self.file = _library("h5py", path).File(_open(path) if _remote(path) else path, "r")
+        text = lambda x: x.decode() if isinstance(x, bytes) else x
+        self.variables = {k: {"dims": [], "shape": list(d.shape), "attrs": {n: text(x) for n, x in d.attrs.items()}, "type": d.dtype} for k, d in self.file.items() if hasattr(d, "shape")}
+
+    def read(self, key: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        v = self.variables[key]
+        return _unpack(np.asarray(self.file[key][lo:hi] if v["shape"] else self.file[key][()]), v["attrs"])
+
+
+class Grib:
+    """Variables of a GRIB file as cfgrib indexes them."""
+
+    def __init__(self, path: str):
+        if _remote(path):
+            raise ValueError(f"{path}: GRIB files are read from local paths only")
+        self.found = _library("cfgrib", path).open_file(path).variables
+        self.variables = {k: {"dims": list(v.dimensions), "shape": list(np.shape(v.data)), "attrs": dict(v.attributes), "type": np.dtype(float)} for k, v in self.found.items()}
+
+    def read(self, key: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        v = self.variables[key]
+        return _unpack(np.atleast_1d(np.asarray(self.found[key].data[lo:hi] if v["shape"] else self.found[key].data)), v["attrs"])
 
 
 class NetCDF3:
@@ -123,22 +179,32 @@ class NetCDF3:
 
 
 class Zarr:
-    """Reader of Zarr v2 folders whose chunks are raw or zlib."""
+    """Reader of Zarr v2 folders, by their consolidated metadata where there is some: a remote one needs it."""
 
     def __init__(self, path: str):
-        self.path, self.variables = path, {}
-        for key in sorted(os.listdir(path)):
-            meta = os.path.join(path, key, ".zarray")
-            if os.path.exists(meta):
-                with open(meta) as f:
-                    m = json.load(f)
-                attrs = {}
-                if os.path.exists(os.path.join(path, key, ".zattrs")):
-                    with open(os.path.join(path, key, ".zattrs")) as f:
-                        attrs = json.load(f)
-                if m.get("filters") or (m.get("compressor") or {"id": "zlib"})["id"] not in ("zlib", "gzip"):
-                    raise ValueError(f"reading {path} needs the library zarr: chunks are {m.get('compressor')}")
-                self.variables[key] = {"dims": attrs.get("_ARRAY_DIMENSIONS", []), "shape": m["shape"], "attrs": attrs, "type": np.dtype(m["dtype"]), "meta": m}
+        self.path, self.variables = path.rstrip("/"), {}
+        whole = _bytes(f"{self.path}/.zmetadata")
+        if whole is not None:
+            found = {k: v for k, v in json.loads(whole)["metadata"].items()}
+            names = sorted(k.removesuffix("/.zarray") for k in found if k.endswith("/.zarray"))
+        else:
+            local = self.path.removeprefix("file://")
+            names = [k for k in sorted(os.listdir(local)) if os.path.exists(os.path.join(local, k, ".zarray"))]
+            found = {f"{k}/{n}": json.loads(_bytes(f"{self.path}/{k}/{n}") or b"{}") for k in names for n in (".zarray", ".zattrs")}
+        for key in names:
+            m, attrs = found[f"{key}/.zarray"], found.get(f"{key}/.zattrs", {})
+            if m.get("filters"):
+                raise ValueError(f"reading {path} needs the library zarr: chunks of {key} are filtered by {m['filters']}")
+            self.variables[key] = {"dims": attrs.get("_ARRAY_DIMENSIONS", []), "shape": m["shape"], "attrs": attrs, "type": np.dtype(m["dtype"]), "meta": m}
+
+    def _decode(self, raw: bytes, codec: dict | None) -> bytes:
+        if not codec:
+            return raw
+        if codec["id"] in ("zlib", "gzip"):
+            return zlib.decompress(raw, 47)
+        if codec["id"] == "zstd" and importlib.util.find_spec("zstandard"):
+            return importlib.import_module("zstandard").ZstdDecompressor().decompressobj().decompress(raw)
+        return bytes(_library("numcodecs", f"{self.path}, whose chunks are {codec['id']},").get_codec(codec).decode(raw))
 
     def read(self, key: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
         v = self.variables[key]
@@ -149,14 +215,10 @@ class Zarr:
         grid = [range(lo // chunk[0], -(-hi // chunk[0])), *(range(-(-s // c)) for s, c in zip(shape[1:], chunk[1:], strict=True))]
         for at in np.ndindex(*map(len, grid)):
             ids = [g[a] for g, a in zip(grid, at, strict=True)]
-            name = os.path.join(self.path, key, m.get("dimension_separator", ".").join(map(str, ids)))
-            if not os.path.exists(name):
+            raw = _bytes(f"{self.path}/{key}/{m.get('dimension_separator', '.').join(map(str, ids))}")
+            if raw is None:  # a chunk of nothing but the fill value
                 continue
-            with open(name, "rb") as f:
-                raw = f.read()
-            if m.get("compressor"):
-                raw = zlib.decompress(raw, 47)
-            block = np.frombuffer(raw, v["type"]).reshape(chunk, order=m.get("order", "C"))
+            block = np.frombuffer(self._decode(raw, m.get("compressor")), v["type"]).reshape(chunk, order=m.get("order", "C"))
             begin = [i * c for i, c in zip(ids, chunk, strict=True)]
             src, dst = [], []
             for k, (b, c) in enumerate(zip(begin, chunk, strict=True)):
@@ -205,23 +267,46 @@ def times(f) -> list[datetime]:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.var, self.engine = options["path"], options.get("var"), options.get("engine")
-        self.frames = int(options.get("frames", FRAMES))
+        self.frames, self.parts, self.pushed = int(options.get("frames", FRAMES)), int(options.get("parts", 0)), []
         if not self.var:
             raise ValueError("option var is needed")
 
-    def partitions(self) -> list[InputPartition]:
-        f = open_file(self.path, self.engine)
-        n = f.variables[variable(f, self.var)]["shape"][0]
-        return [InputPartition((lo, min(lo + self.frames, n))) for lo in range(0, n, self.frames)]
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of t and time choose the frames to read; Spark applies all conditions again."""
+        self.pushed = [(f.attribute[0], type(f), f.value) for f in filters if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("t",), ("time",))]
+        yield from filters
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def _wanted(self, f, n: int) -> list[int]:
+        holds = {EqualTo: lambda x, y: x == y, GreaterThan: lambda x, y: x > y, GreaterThanOrEqual: lambda x, y: x >= y, LessThan: lambda x, y: x < y, LessThanOrEqual: lambda x, y: x <= y}
+        if not self.pushed:
+            return list(range(n))
+        when = times(f) if any(c == "time" for c, _, _ in self.pushed) else [None] * n
+        return [k for k in range(n) if all(holds[op](k if c == "t" else when[k], value) for c, op, value in self.pushed)]
+
+    def partitions(self) -> list[InputPartition]:
+        """Runs of ``frames`` frames, or with option ``parts`` that many runs of nearly one length."""
         f = open_file(self.path, self.engine)
+        own = self._wanted(f, f.variables[variable(f, self.var)]["shape"][0])
+        if not own:
+            return [InputPartition((0, 0))]
+        lo, hi = own[0], own[-1] + 1
+        if self.parts:
+            cuts = [lo + (hi - lo) * k // self.parts for k in range(self.parts + 1)]
+        else:
+            cuts = [*range(lo, hi, self.frames), hi]
+        return [InputPartition((a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         lo, hi = partition.value
+        if lo == hi:
+            return
+        f = open_file(self.path, self.engine)
         when, key = times(f), variable(f, self.var)
-        data = f.read(key, lo, hi)
-        for k, frame in zip(range(lo, hi), data, strict=True):
+        for k in range(lo, hi):  # a frame a batch: what a task holds is one
+            frame = f.read(key, k, k + 1)[0]
             plane = frame.reshape(frame.shape[-2:]) if frame.ndim > 1 else frame.reshape(1, -1)  # single levels go
-            yield k, when[k], plane.shape[0], plane.shape[1], plane.ravel().tolist()
+            vals = pa.ListArray.from_arrays(pa.array([0, plane.size], pa.int32()), pa.array(plane.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([when[k]], pa.timestamp("us")), *(pa.array([x], pa.int32()) for x in plane.shape), vals], names=["t", "time", "nlat", "nlon", "vals"])
 
 
 class Gridded(DataSource):
@@ -237,6 +322,8 @@ class Gridded(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
+    """Make the format known to a session, and let conditions reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Gridded)
     return spark
 

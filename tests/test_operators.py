@@ -294,3 +294,137 @@ def test_streaming_linker(spark, tmp_path):
     got = spark.table("linked").toPandas()
     assert len(got) == 10 and got[got.dataset == "a"].groupby("lat")["track_id"].nunique().eq(1).all()
     assert got[got.dataset == "b"]["track_id"].nunique() == 2
+
+
+def _dense_swap(ex, m, k, ahead):
+    """The best exchange of two rows' points, from all pairs of rows."""
+    to, best = k + 1 if ahead else k - 1, (1e-8, None)
+
+    def three(row, point):
+        return (m[row, k - 1], m[row, k], point) if ahead else (point, m[row, k], m[row, k + 1])
+
+    def allowed(row, point):
+        new = m[row : row + 1].copy()
+        new[0, to] = point
+        ends = [np.array([x]) for x in three(row, point)]
+        return ex.gaps_ok(new)[0] and ex.near(m[row, k], point) and ex.smooth(*ends, ex.cost(*ends))[0]
+
+    cost = lambda row, point: float(ex.cost(*(np.array([x]) for x in three(row, point)))[0])
+    for i in range(len(m)):
+        for j in range(i + 1, len(m)):
+            a, b = m[i, to], m[j, to]
+            if a != b and allowed(i, b) and allowed(j, a):
+                gain = cost(i, a) + cost(j, b) - cost(i, b) - cost(j, a)
+                if gain > best[0] + 1e-12:
+                    best = (gain, (i, j))
+    return best[1]
+
+
+def test_exchange_search_is_the_dense_one(monkeypatch):
+    rng = np.random.default_rng(0)
+    for trial in range(6):
+        monkeypatch.setattr(exchange, "PAIRS", (500_000, 40)[trial % 2])
+        frames = [(rng.uniform(-30, 30, c), rng.uniform(0, 60, c)) for c in rng.integers(0, 7, int(rng.integers(4, 7)))]
+        rules = exchange.Rules(dmax=15, zones=[] if trial % 2 else exchange.ZONES, adapt=[], phimax=0.9, max_missing=trial % 3)
+        ex = exchange.Exchange(frames, rules)
+        m = ex.broken(ex.initial())
+        for k in range(1, len(frames) - 1):
+            for ahead in (True, False):
+                assert ex.best_swap(m, k, ahead) == _dense_swap(ex, m, k, ahead)
+
+
+def test_exchange_resolves_crossing_movers():
+    a, b = [(0, 0), (0, 2), (0, 4), (0, 6), (0, 8)], [(4, 0), (2.9, 2), (0.5, 4), (-1.5, 6), (-3.5, 8)]
+    rules = exchange.Rules(zones=[], adapt=[], min_lifetime=1, dmax=8, phimax=1.0)
+    ex = exchange.Exchange(_movers(a, b), rules)
+    assert sorted([f for _, f in x] for x in ex.tracks(ex.run())) == [[0, 2, 4, 6, 8], [1, 3, 5, 7, 9]]
+
+
+def test_chains_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(linking, "STEPS", 4)
+    rng, big = np.random.default_rng(3), 1 << 60
+    nodes, edges, root, last = [], [], {}, {}
+    for step in range(60):
+        now = {}
+        for k in range(5):
+            cid = big + (step << 8) + k
+            nodes.append((cid, step))
+            prev = last.pop(int(rng.choice(list(last))), None) if last and rng.random() < 0.8 else None
+            root[cid] = root[prev] if prev else cid
+            if prev:
+                edges.append((prev, cid))
+            now[k] = cid
+        last = now
+    got = linking.label_chains(spark.createDataFrame(nodes, "cid long, at long").repartition(3), spark.createDataFrame(edges, "a long, b long"))
+    assert {r["cid"]: r["root"] for r in got.collect()} == root
+
+
+def test_range_given_by_the_user(spark):
+    steps = [(0, 1), (6, 1), (24, 1), (30, 1)]
+    c = spark.createDataFrame([(t, 0, 0.0, 0.0, 1.0) for t, _ in steps], "t long, c_idx int, lat double, lon double, v double")
+    s = spark.createDataFrame(steps, "t long, n long")
+    count = lambda **k: linking.link(c, s, **k).select("track_id").distinct().count()
+    assert count() == 2 and count(start=0, end=30) == 1 and count(start=0) == 2
+
+
+def test_gridded_conditions_choose_frames(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    data = np.random.default_rng(0).normal(size=(40, 4, 6))
+    path = str(tmp_path / "f.nc")
+    gridded.write_netcdf3(path, np.linspace(90, -90, 4), np.arange(6) * 60.0, np.arange(40) * 6.0, "msl", data)
+    frames = gridded.register(spark).read.format("gridded").option("var", "msl").load(path)
+    got = frames.where("t >= 10 and t < 13 and time <= timestamp_ntz'1970-01-03 18:00:00'").collect()
+    assert [r["t"] for r in got] == [10, 11] and np.allclose(got[0]["vals"], data[10].ravel())
+    reader = gridded._Reader({"path": path, "var": "msl"})
+    list(reader.pushFilters([GreaterThan(("t",), 4), LessThanOrEqual(("t",), 7)]))
+    assert [p.value for p in reader.partitions()] == [(5, 8)]
+    list(reader.pushFilters([EqualTo(("t",), 99)]))
+    assert [p.value for p in reader.partitions()] == [(0, 0)]
+    parts = [p.value for p in gridded._Reader({"path": path, "var": "msl", "parts": "7"}).partitions()]
+    assert {b - a for a, b in parts} == {5, 6} and (parts[0][0], parts[-1][1], len(parts)) == (0, 40, 7)
+
+
+def test_files_of_optional_libraries(monkeypatch, tmp_path):
+    import sys
+    import types
+
+    class Values(np.ndarray):
+        attrs: dict
+
+    def values(x, **attrs):
+        out = np.asarray(x).view(Values)
+        out.attrs = attrs
+        return out
+
+    held = {"msl": values(np.arange(24).reshape(2, 3, 4), scale_factor=2.0), "time": values(np.array([0, 6]), units=b"hours since 2000-01-01")}
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=lambda path, mode: held))
+    f = gridded.open_file("x.nc", "netcdf4")
+    assert f.read("msl", 1, 2).tolist() == (2.0 * np.arange(12, 24).reshape(1, 3, 4)).tolist() and gridded.times(f)[1].hour == 6
+    one = types.SimpleNamespace(dimensions=("time", "lat", "lon"), data=np.ones((2, 3, 4)), attributes={"missing_value": 1.0})
+    monkeypatch.setitem(sys.modules, "cfgrib", types.SimpleNamespace(open_file=lambda path: types.SimpleNamespace(variables={"vo": one})))
+    assert np.isnan(gridded.open_file("x.grib").read("vo", 0, 1)).all()
+    monkeypatch.setitem(sys.modules, "h5py", None)
+    with pytest.raises(ValueError, match="h5py"):
+        gridded.open_file("x.nc", "netcdf4")
+    z = tmp_path / "a.zarr" / "msl"
+    z.mkdir(parents=True)
+    meta = {"shape": [2, 2], "chunks": [2, 2], "dtype": "<f8", "order": "C", "fill_value": 0, "filters": None, "zarr_format": 2}
+    (z / ".zarray").write_text(json.dumps({**meta, "compressor": {"id": "blosc"}}))
+    (z / "0.0").write_bytes(np.arange(4.0).tobytes()[::-1])
+    codec = types.SimpleNamespace(get_codec=lambda c: types.SimpleNamespace(decode=lambda raw: raw[::-1]))
+    monkeypatch.setitem(sys.modules, "numcodecs", codec)
+    assert gridded.Zarr(str(tmp_path / "a.zarr")).read("msl").tolist() == [[0, 1], [2, 3]]
+
+
+def test_exports_functions_and_other_variables(spark, tmp_path):
+    import gridtrack
+
+    assert all(getattr(gridtrack, n) for n in gridtrack.__all__)
+    gridtrack.register_functions(spark)
+    row = spark.sql("select geod_dist_km(0D, 0D, 0D, 90D) as km, lon360(-10D) as lon, lon_gap(350D, 10D) as gap").first()
+    assert row["km"] == pytest.approx(6371.22 * np.pi / 2) and (row["lon"], row["gap"]) == (350.0, 20.0)
+    centers = spark.createDataFrame([(0, 10.0, 359.0), (0, -80.0, 100.0), (5, 0.0, 0.0)], "t long, lat double, lon double")
+    frames = spark.createDataFrame([(0, [float(k) for k in range(12)]), (7, [0.0] * 12)], "t long, vals array<double>")
+    got = gridtrack.api.sample_at(centers, frames, (3, 4), np.array([90.0, 0.0, -90.0]), np.arange(4) * 90.0, "wind")
+    assert {(r["t"], r["lat"]): r["wind"] for r in got.collect()} == {(0, 10.0): 4.0, (0, -80.0): 9.0, (5, 0.0): None}
