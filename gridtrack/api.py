@@ -26,12 +26,13 @@ class Tracker(Protocol):
     def track(self, spark: SparkSession, path: str | DataFrame, var: str, **options) -> DataFrame: ...
 
 
-def load(spark: SparkSession, path: str | DataFrame, var: str, start=None, end=None, first: int | None = None, engine: str | None = None) -> DataFrame:
-    """Frames of a file or a table, of a closed time range (None: open), or the first ``first``."""
+def load(spark: SparkSession, path: str | DataFrame, var: str, start=None, end=None, first: int | None = None, engine: str | None = None, index: bool = False) -> DataFrame:
+    """Frames of a file or a table, of a closed time range (None: open), or the first ``first``; with ``index``, without
+    their values, which are then not read."""
     if not isinstance(path, str):
-        frames = path
+        frames = path.drop("vals") if index else path
     else:
-        reader = gridded.register(spark).read.format("gridded").option("var", var)
+        reader = gridded.register(spark).read.format("gridded").option("var", var).option("index", str(index).lower())
         frames = (reader.option("engine", engine) if engine else reader).load(path)
     if start is not None:
         frames = frames.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
@@ -90,17 +91,17 @@ def _points(tracks: DataFrame, frames: DataFrame, also: tuple = ()) -> DataFrame
 
 class _Base:
     def _prepare(self, spark, path, var, mode, threshold, filter, lmin, lmax, taper, map_proj, resolution, extent, start, end, first, engine):
-        frames = load(spark, path, var, start, end, first, engine)
-        head = frames.select("nlat", "nlon").first()
+        index = load(spark, path, var, start, end, first, engine, index=True)
+        head = index.select("nlat", "nlon").first()
         if head is None:
             raise ValueError("no frames")
-        shape = (head["nlat"], head["nlon"])
+        frames, shape = load(spark, path, var, start, end, first, engine), (head["nlat"], head["nlon"])
         lat, lon = axes(path if isinstance(path, str) else None, shape, engine)
         ready, new = preprocess(frames, shape, lmin, lmax, taper, map_proj, resolution, extent, filter, bool(lat[0] > lat[-1]))
         if map_proj.endswith("stereo"):
             lon, lat = spectral.stereo_axes(extent, resolution)
         limit = THRESHOLD.get(var, 0.0) if threshold is None else threshold
-        return frames, ready.select("t", "vals"), new, lat, lon, limit
+        return index, ready.select("t", "vals"), new, lat, lon, limit
 
     @staticmethod
     def _degrees(centers: DataFrame, map_proj: str) -> DataFrame:
@@ -141,7 +142,7 @@ class ExchangeTracker(_Base):
             centers = H.healpix_detect(ready, limit, mode, min_points)
         else:
             centers = self._degrees(kernels.object_frames(ready, shape, lat, lon, size, limit, mode, min_points, periodic=not map_proj.endswith("stereo")), map_proj)
-        linked = exchange_link(centers.select("t", "c_idx", "lat", "lon", "v"), ready.select("t"), self.rules, chunk, overlap)
+        linked = exchange_link(centers.select("t", "c_idx", "lat", "lon", "v"), frames.select("t"), self.rules, chunk, overlap)
         return _points(splice(linked), frames)
 
 
@@ -154,5 +155,6 @@ class HealpixTracker(ExchangeTracker):
         frames = load(spark, path, var, options.get("start"), options.get("end"), options.get("first"), options.get("engine"))
         limit = THRESHOLD.get(var, 0.0) if threshold is None else threshold
         centers = H.healpix_detect(frames.select("t", "vals"), limit, mode, min_points)
+        frames = load(spark, path, var, options.get("start"), options.get("end"), options.get("first"), options.get("engine"), index=True)
         linked = exchange_link(centers.select("t", "c_idx", "lat", "lon", "v"), frames.select("t"), self.rules, options.get("chunk"), options.get("overlap", 3))
         return _points(splice(linked), frames)

@@ -55,11 +55,17 @@ def _refine(nlat: int, odd: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide[:n], wide[-n + 1 :] = spectrum[:n], spectrum[n + 1 :]
     wide[n], wide[-n] = spectrum[n] / 2, spectrum[n] / 2
     fine = np.fft.ifft(wide, axis=0).real[: 2 * n + 1] * 2
+    return fine, np.linspace(0, np.pi, 2 * n + 1), _refine_weights(nlat)
+
+
+@lru_cache(maxsize=8)
+def _refine_weights(nlat: int) -> np.ndarray:
+    n = nlat - 1
     k, j = np.arange(2 * n + 1), np.arange(1, n + 1)
     b = np.where(j == n, 1.0, 2.0)
     w = (1 - (b / (4 * j * j - 1) * np.cos(np.pi * np.outer(k, j) / n)).sum(1)) / (2 * n)
     w[1:-1] *= 2
-    return fine, np.linspace(0, np.pi, 2 * n + 1), w
+    return w
 
 
 def _check(frame: np.ndarray) -> None:
@@ -124,45 +130,107 @@ def filter_frame(frame: np.ndarray, lmin: int = 5, lmax: int = 42) -> np.ndarray
     return np.fft.irfft(out, frame.shape[1], axis=1)
 
 
-def wind_derivatives(u: np.ndarray, v: np.ndarray, radius: float = EARTH_M, lmax: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(divergence, vorticity) of a wind, by integrating against the gradients of the harmonics; rows north to south."""
+def _orders(mmax: int, lmax: int, theta: np.ndarray, block: int = 16) -> Iterator[np.ndarray]:
+    """``legendre(m, lmax, theta)`` for m = 0..mmax; the recurrence runs over ``block`` orders at once."""
+    c, s, first = np.cos(theta), np.sin(theta), np.full(len(theta), np.sqrt(0.5))
+    for m0 in range(0, mmax + 1, block):
+        orders = np.arange(m0, min(m0 + block, mmax + 1))
+        out = np.zeros((len(orders), max(0, lmax - m0 + 1), len(theta)))
+        for i, m in enumerate(orders):
+            if m:
+                first = first * s * np.sqrt((2 * m + 1) / (2 * m))
+            if out.shape[1]:
+                out[i, 0] = first
+        m = orders[:, None]
+        if out.shape[1] > 1:
+            out[:, 1] = np.sqrt(2 * m + 3) * c * out[:, 0]
+        for k in range(2, out.shape[1]):
+            l = m + k  # noqa: E741
+            x = np.sqrt((4 * l * l - 1) / (l * l - m * m))
+            y = x * np.sqrt(((l - 1) ** 2 - m * m) / (4 * (l - 1) ** 2 - 1))
+            out[:, k] = (x * c) * out[:, k - 1] - y * out[:, k - 2]
+        for i, m in enumerate(orders):
+            yield out[i, : max(0, lmax - m + 1)]
+
+
+def _circle(f: np.ndarray, odd: bool) -> np.ndarray:
+    """Columns of ``f`` on twice as many rows, continued around the circle with their parity: ``_refine`` by FFT."""
+    n = len(f) - 1
+    spectrum = np.fft.fft(np.concatenate([f, (-1 if odd else 1) * f[n - 1 : 0 : -1]]), axis=0)
+    wide = np.zeros((4 * n, *f.shape[1:]), complex)
+    wide[:n], wide[-n + 1 :] = spectrum[:n], spectrum[n + 1 :]
+    wide[n], wide[-n] = spectrum[n] / 2, spectrum[n] / 2
+    return np.fft.ifft(wide, axis=0)[: 2 * n + 1] * 2
+
+
+def wind_derivatives_of(u: np.ndarray, v: np.ndarray, radius: float = EARTH_M, lmax: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(divergence, vorticity) of winds (frames, rows, columns), by integrating against the gradients of the harmonics.
+
+    Rows run from north to south. The harmonics are made once for all frames, on one hemisphere: they are even or odd
+    about the equator, so the other follows from sums and differences.
+    """
     if u.shape != v.shape:
         raise ValueError("u and v differ in shape")
-    _check(u)
-    _check(v)
-    nlat, nlon = u.shape
-    lmax = nlat - 2 if lmax is None else lmax
+    for x in (*u, *v):
+        _check(x)
+    count, nlat, nlon = u.shape
+    n, lmax = nlat - 1, nlat - 2 if lmax is None else lmax
     mmax = min(lmax, (nlon - 1) // 2)
-    fu, fv = (np.fft.rfft(x, axis=1) / nlon for x in (u, v))
-    div, vort = [], []
-    theta = _refine(nlat, False)[1]
-    before, here = None, legendre(0, lmax + 1, theta)
+    w = _refine_weights(nlat)[: n + 1, None, None]
+    # (even and odd part, half of the rows, orders, u of all frames and v of all frames), folded about the equator
+    f = np.concatenate([np.fft.rfft(x, axis=2)[:, :, : mmax + 1].transpose(1, 2, 0) / nlon for x in (u, v)], 2)
+    folded = np.empty((2, n + 1, mmax + 1, 2 * count), complex)
+    for parity in (0, 1):  # components of a vector have the other parity
+        whole = _circle(f[:, parity::2], parity == 0)
+        north, south = whole[: n + 1], whole[: n - 1 : -1]
+        south = south.copy()
+        south[n] = 0  # the equator counts once
+        folded[0, :, parity::2], folded[1, :, parity::2] = (north + south) * w, (north - south) * w
+    folded[1, n] = 0
+    out = np.zeros((2, nlat, nlon // 2 + 1, count), complex)
+    theta = np.linspace(0, np.pi, 2 * n + 1)[: n + 1]
+
+    def project(p: np.ndarray, m: int) -> np.ndarray:
+        rows = np.empty((len(p), 2 * count), complex)
+        for k in (0, 1):
+            rows[k::2] = (p[k::2] @ np.ascontiguousarray(folded[k, :, m]).view(float)).view(complex)
+        return rows
+
+    waves = _orders(mmax + 1, lmax, theta)
+    before, here = None, next(waves)
     for m in range(mmax + 1):
-        after = legendre(m + 1, lmax + 1, theta)
-        up, _, w = _refine(nlat, m % 2 == 0)  # components of a vector have the other parity
+        after = next(waves)
         l = np.arange(m, lmax + 1)[:, None]  # noqa: E741
-        row = lambda p, mm, shift: _rows(p, mm, m + shift, lmax + shift, theta)
-        plus, minus = row(after, m + 1, 0), row(before, m - 1, 0) if m else None
+        plus = np.zeros((len(l) + 1, 2 * count), complex)  # from l - 1 = m - 1 on
+        plus[2 : 2 + len(after)] = project(after, m)[: len(l) - 1]
         if m == 0:
-            slope, across = -np.sqrt(l * (l + 1.0)) * plus, np.zeros_like(plus)
+            slope, across = -np.sqrt(l * (l + 1.0)) * plus[1:], np.zeros_like(plus[1:])
         else:
-            slope = 0.5 * (np.sqrt((l + m) * (l - m + 1.0)) * minus - np.sqrt((l - m) * (l + m + 1.0)) * plus)
+            minus = project(before, m)
+            slope = 0.5 * (np.sqrt((l + m) * (l - m + 1.0)) * minus[1:] - np.sqrt((l - m) * (l + m + 1.0)) * plus[1:])
             scale = 0.5 * np.sqrt((2 * l + 1) / np.maximum(2 * l - 1, 1))
-            across = scale * (np.sqrt((l + m) * (l + m - 1.0)) * row(before, m - 1, -1) + np.sqrt(np.maximum((l - m) * (l - m - 1.0), 0)) * row(after, m + 1, -1))
-        um, vm = (up @ fu[:, m]) * w, (up @ fv[:, m]) * w
-        vort.append((-(slope @ um) + 1j * (across @ vm)) / radius)
-        div.append((1j * (across @ um) + slope @ vm) / radius)
+            across = scale * (np.sqrt((l + m) * (l + m - 1.0)) * minus[:-1] + np.sqrt(np.maximum((l - m) * (l - m - 1.0), 0)) * plus[:-1])
+        su, sv, xu, xv = slope[:, :count], slope[:, count:], across[:, :count], across[:, count:]
+        coefficients = np.concatenate([1j * xu + sv, -su + 1j * xv], 1) / radius  # divergence, vorticity
+        if m < out.shape[2]:
+            e, o = ((here[k::2, ::2].T @ np.ascontiguousarray(coefficients[k::2]).view(float)).view(complex) for k in (0, 1))
+            rows = np.empty((nlat, 2 * count), complex)
+            rows[: len(e)] = e + o
+            rows[nlat - len(e) :] = (e - o)[::-1]
+            if n % 2 == 0:
+                rows[n // 2] = e[-1]  # all odd ones are 0 there
+            out[0, :, m], out[1, :, m] = rows[:, :count], rows[:, count:]
         before, here = here, after
-    rows = colatitudes(nlat)
-    return synthesise(div, rows, nlon), synthesise(vort, rows, nlon)
+    div, vort = (np.fft.irfft(x * nlon, nlon, axis=1).transpose(2, 0, 1) for x in out)
+    return div, vort
 
 
-def _rows(p: np.ndarray, m: int, first: int, last: int, theta: np.ndarray) -> np.ndarray:
-    """Rows l = first..last of P_lm, zero where l < m."""
-    out = np.zeros((last - first + 1, len(theta)))
-    for l in range(max(first, m), last + 1):  # noqa: E741
-        out[l - first] = p[l - m]
-    return out
+def wind_derivatives(u: np.ndarray, v: np.ndarray, radius: float = EARTH_M, lmax: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(divergence, vorticity) of one wind; rows north to south."""
+    if u.shape != v.shape:
+        raise ValueError("u and v differ in shape")
+    div, vort = wind_derivatives_of(u[None], v[None], radius, lmax)
+    return div[0], vort[0]
 
 
 def regrid(frame: np.ndarray, nlat: int, nlon: int, lmax: int | None = None, geometry: str = "CC") -> np.ndarray:
@@ -239,11 +307,14 @@ def taper(frames: DataFrame, shape: tuple[int, int], points: int = 10) -> DataFr
 def wind_frames(u: DataFrame, v: DataFrame, shape: tuple[int, int], north_first: bool = True, radius: float = EARTH_M) -> DataFrame:
     """(t, divergence, vorticity) of two frame tables, joined on t."""
     flip = slice(None) if north_first else slice(None, None, -1)
+    most = max(1, (1 << 22) // (shape[0] * shape[1]))  # frames that share the making of the harmonics
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [wind_derivatives(*(np.asarray(x, float).reshape(shape)[flip] for x in pair), radius) for pair in zip(b["u"], b["v"], strict=True)]
-            yield pd.DataFrame({"t": b["t"], "divergence": [d[flip].ravel() for d, _ in done], "vorticity": [z[flip].ravel() for _, z in done]})
+            for lo in range(0, len(b), most):
+                part = b.iloc[lo : lo + most]
+                div, vort = wind_derivatives_of(*(np.stack([np.asarray(x, float).reshape(shape)[flip] for x in part[c]]) for c in ("u", "v")), radius)
+                yield pd.DataFrame({"t": part["t"], "divergence": [d[flip].ravel() for d in div], "vorticity": [z[flip].ravel() for z in vort]})
 
     both = u.select("t", F.col("vals").alias("u")).join(v.select("t", F.col("vals").alias("v")), "t")
     return both.mapInPandas(run, f"t {u.schema['t'].dataType.simpleString()}, divergence array<double>, vorticity array<double>")

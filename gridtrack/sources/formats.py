@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import lon180, lon360
 from ..operators import tracks as T
+from ..storage import written
 
 SCALE = {"msl": 0.01, "vo": 1e5}
 HEADER = "99 00,CycloneNo,StepNo,DateI10,Year,Month,Day,Time,LongE,LatN,"
@@ -135,7 +136,7 @@ for (const t of TRACKS.tracks) {{
 
 def write(points: DataFrame, path: str, kind: str = "msl", format: str = "imilast", split: bool = False) -> None:
     """Write one file in imilast, hodges, json or html format."""
-    out = Path(path)
+    out, points = Path(path), written(points, "points")
     if format in ("imilast", "hodges"):
         lines = imilast_lines(points, kind) if format == "imilast" else tdump_lines(points)
         with out.open("w", newline="") as f:

@@ -268,6 +268,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.var, self.engine = options["path"], options.get("var"), options.get("engine")
         self.frames, self.parts, self.pushed = int(options.get("frames", FRAMES)), int(options.get("parts", 0)), []
+        self.index = options.get("index", "false").lower() == "true"
         if not self.var:
             raise ValueError("option var is needed")
 
@@ -290,7 +291,9 @@ class _Reader(DataSourceReader):
         if not own:
             return [InputPartition((0, 0))]
         lo, hi = own[0], own[-1] + 1
-        if self.parts:
+        if self.index:
+            cuts = [lo, hi]
+        elif self.parts:
             cuts = [lo + (hi - lo) * k // self.parts for k in range(self.parts + 1)]
         else:
             cuts = [*range(lo, hi, self.frames), hi]
@@ -302,6 +305,10 @@ class _Reader(DataSourceReader):
             return
         f = open_file(self.path, self.engine)
         when, key = times(f), variable(f, self.var)
+        if self.index:  # no values: which frames there are
+            shape, n = [1, *f.variables[key]["shape"][1:]][-2:], hi - lo
+            yield pa.RecordBatch.from_arrays([pa.array(range(lo, hi), pa.int32()), pa.array(when[lo:hi], pa.timestamp("us")), *(pa.array([x] * n, pa.int32()) for x in shape), pa.array([[]] * n, pa.list_(pa.float64()))], names=["t", "time", "nlat", "nlon", "vals"])
+            return
         for k in range(lo, hi):  # a frame a batch: what a task holds is one
             frame = f.read(key, k, k + 1)[0]
             plane = frame.reshape(frame.shape[-2:]) if frame.ndim > 1 else frame.reshape(1, -1)  # single levels go

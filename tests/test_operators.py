@@ -381,6 +381,8 @@ def test_gridded_conditions_choose_frames(spark, tmp_path):
     assert [p.value for p in reader.partitions()] == [(5, 8)]
     list(reader.pushFilters([EqualTo(("t",), 99)]))
     assert [p.value for p in reader.partitions()] == [(0, 0)]
+    index = gridded.register(spark).read.format("gridded").option("var", "msl").option("index", "true").load(path).collect()
+    assert [(r["t"], r["nlat"], r["nlon"], r["vals"]) for r in index] == [(k, 4, 6, []) for k in range(40)] and index[1]["time"].hour == 6
     parts = [p.value for p in gridded._Reader({"path": path, "var": "msl", "parts": "7"}).partitions()]
     assert {b - a for a, b in parts} == {5, 6} and (parts[0][0], parts[-1][1], len(parts)) == (0, 40, 7)
 
@@ -417,6 +419,15 @@ def test_files_of_optional_libraries(monkeypatch, tmp_path):
     assert gridded.Zarr(str(tmp_path / "a.zarr")).read("msl").tolist() == [[0, 1], [2, 3]]
 
 
+def test_winds_of_many_frames_are_those_of_each():
+    u, v = np.random.default_rng(2).normal(size=(2, 3, 9, 16))
+    div, vort = spectral.wind_derivatives_of(u, v, 1.0)
+    for k in range(3):
+        d, z = spectral.wind_derivatives(u[k], v[k], 1.0)
+        assert np.allclose(div[k], d) and np.allclose(vort[k], z)
+    assert all(np.allclose(p, spectral.legendre(m, 20, np.linspace(0, 3, 7))) for m, p in enumerate(spectral._orders(20, 20, np.linspace(0, 3, 7))))
+
+
 def test_exports_functions_and_other_variables(spark, tmp_path):
     import gridtrack
 
