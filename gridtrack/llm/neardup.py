@@ -14,7 +14,7 @@ from .common import components, materialize
 
 COSINE, CELL, LOSS, FEWEST, SEED = 0.9, 1.5, 0.01, 12, 7
 #: Unrelated vectors expected in a bucket, and the most vectors that one task compares with each other at once.
-CROWD, BLOCK = 256, 4096
+CROWD, BLOCK = 2048, 4096
 
 
 def collision(distance: float, cell: float = CELL) -> float:
@@ -35,7 +35,10 @@ def _hash(x: np.ndarray, keys: int, tables: int, cell: float, seed: int) -> np.n
     """Bucket of each vector in each table: the cells of ``keys`` Gaussian projections, mixed to 32 bits."""
     rng = np.random.default_rng([seed, x.shape[1]])
     lines, shift = rng.normal(size=(x.shape[1], tables * keys)), rng.uniform(0, cell, tables * keys)
-    cells = np.floor((x @ lines + shift) / cell).astype(np.int64).view(np.uint64).reshape(len(x), tables, keys)
+    at = np.broadcast_to(shift, (len(x), len(shift))).copy()
+    for j in range(x.shape[1]):  # one order of sums whatever rows come together, which a matrix product doesn't promise
+        at += x[:, j : j + 1] * lines[j]
+    cells = np.floor(at / cell).astype(np.int64).view(np.uint64).reshape(len(x), tables, keys)
     with np.errstate(over="ignore"):
         h = np.full((len(x), tables), x.shape[1], np.uint64)
         for k in range(keys):
@@ -61,16 +64,32 @@ def _groups(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _linked(v: np.ndarray, m: np.ndarray, own: np.ndarray, xs: list[bytes], codes: list[bytes], cosine: float, across: bool) -> list[tuple]:
-    """[(ids, links counted here, least id of the group)] of one bucket, or of the pairs across its two blocks."""
-    by_size = {len(x) for x in xs}
+def _sent(x: np.ndarray) -> bytes:
+    """A vector's bytes: as floats if that is what it holds, else as doubles, after a byte that says which."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return b"f" + small.tobytes() if (small == x).all() else b"d" + x.tobytes()
+
+
+def _unit(raw: list[bytes]) -> np.ndarray:
+    x = np.stack([np.frombuffer(r, r[:1].decode(), offset=1).astype(np.float64) for r in raw])
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _linked(v: np.ndarray, m: np.ndarray, own: np.ndarray, x: list[np.ndarray], code, cosine: float, across: bool) -> list[tuple]:
+    """[(ids, links counted here, least id of the group)] of one bucket, or of the pairs across its two blocks.
+
+    ``x`` are unit vectors; ``code`` gives the buckets that vectors have in the tables before this one.
+    """
+    by_size = {len(r) for r in x}
     if len(by_size) > 1:  # lengths differ only where hashes of two lengths collide
         out = []
         for size in by_size:
-            at = [k for k, x in enumerate(xs) if len(x) == size]
-            out += _linked(v[at], m[at], own[at], [xs[k] for k in at], [codes[k] for k in at], cosine, across)
+            at = [k for k, r in enumerate(x) if len(r) == size]
+            out += _linked(v[at], m[at], own[at], [x[k] for k in at], code, cosine, across)
         return out
-    x = np.frombuffer(b"".join(xs)).reshape(len(xs), -1)
+    x = np.stack(x)
     near = np.empty((len(x), len(x)), bool)
     for lo in range(0, len(x), 512):
         near[lo : lo + 512] = x[lo : lo + 512] @ x.T >= cosine
@@ -82,11 +101,11 @@ def _linked(v: np.ndarray, m: np.ndarray, own: np.ndarray, xs: list[bytes], code
     if not len(hit):
         return []
     near = joined = near[np.ix_(hit, hit)]
-    code = np.frombuffer(b"".join(codes[h] for h in hit), np.uint32).reshape(len(hit), -1)
-    if code.shape[1]:
+    before = code(x[hit])
+    if before.shape[1]:
         near = near.copy()
-        for t in range(code.shape[1]):
-            near &= code[:, t][:, None] != code[:, t][None, :]
+        for t in range(before.shape[1]):
+            near &= before[:, t][:, None] != before[:, t][None, :]
     return [(v[hit], near @ m[hit], v[hit][_groups(joined)])]
 
 
@@ -115,14 +134,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: float = CE
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby(batch["x"].map(len)):
-                x = np.stack(part["x"].to_numpy())
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                codes = _hash(x, keys, tables, cell, seed)
+                sent = [_sent(np.asarray(r, float)) for r in part["x"]]
+                codes = _hash(_unit(sent), keys, tables, cell, seed)
                 for t in range(tables):
-                    yield pd.DataFrame({"t": t, "bucket": codes[:, t], "v": part["v"].to_numpy(), "m": part["m"].to_numpy(), "codes": [c.tobytes() for c in codes[:, :t].astype(np.uint32)], "x": [r.tobytes() for r in x]})
+                    yield pd.DataFrame({"t": t, "bucket": codes[:, t], "v": part["v"].to_numpy(), "m": part["m"].to_numpy(), "x": sent})
 
-    dealt = reps.select("v", "m", "x").mapInPandas(deal, "t int, bucket long, v long, m long, codes binary, x binary")
+    dealt = reps.select("v", "m", "x").mapInPandas(deal, "t int, bucket long, v long, m long, x binary")
     full = reps.select("v", "m", "x").mapInPandas(_only_keys(deal), "t int, bucket long").groupBy("t", "bucket").agg(F.count("*").alias("n"))
     full = materialize(full.where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "buckets")
     part = F.pmod(F.col("v"), F.col("blocks")).cast("int")
@@ -137,12 +154,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: float = CE
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["bucket", "v"], kind="stable")
         v, m, own, bucket = (g[c].to_numpy() for c in ("v", "m", "part", "bucket"))
-        xs, codes = g["x"].to_list(), g["codes"].to_list()
+        xs = [None] * len(g)
+        for _, at in pd.Series(range(len(g))).groupby([len(r) * 2 + (r[:1] == b"d") for r in g["x"]]):
+            for k, r in zip(at, _unit([g["x"].iloc[i] for i in at]), strict=True):
+                xs[k] = r
+        earlier = lambda x: _hash(x, keys, tables, cell, seed)[:, : key[0]]
         ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(g))
         out = []
         for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True):
             if hi - lo > 1:
-                out += _linked(v[lo:hi], m[lo:hi], own[lo:hi], xs[lo:hi], codes[lo:hi], cosine, key[2] != key[3])
+                out += _linked(v[lo:hi], m[lo:hi], own[lo:hi], xs[lo:hi], earlier, cosine, key[2] != key[3])
         return pd.DataFrame(dict(zip(("v", "links", "other"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({"v": [], "links": [], "other": []})
 
     found = materialize(dealt.groupBy("t", "slot", "i", "j").applyInPandas(compare, "v long, links long, other long"), "links")

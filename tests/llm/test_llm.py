@@ -226,6 +226,20 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert count_of(neardup.near_duplicates(df), "n_links", "component_id") == {(39, 0): 40}
 
 
+def test_hash_of_a_vector_is_the_same_in_any_company():
+    x = np.random.default_rng(0).normal(size=(300, 64))
+    whole = neardup._hash(x, 5, 9, 1.5, 7)
+    assert all((neardup._hash(x[k : k + 1], 5, 9, 1.5, 7) == whole[k]).all() for k in range(0, 300, 7))
+    both = [neardup._sent(np.array([0.5, 1.0])), neardup._sent(np.array([0.1, 1.0]))]
+    assert [len(b) for b in both] == [9, 17] and np.allclose(neardup._unit(both[1:]), np.array([[0.1, 1.0]]) / np.hypot(0.1, 1))
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "y"), (1, [0.0, 1.0], "x"), (2, [0.1, 5.0], "x"), (None, [1.0, 0.1], "x"), (None, None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept string"))
+    assert count_of(got, "vec_id", "n_links", "component_id", "kept") == {(1, 2, 1, True): 2, (1, 1, 1, True): 1, (2, 1, 1, False): 1, (None, 2, 1, False): 1, (None, 0, None, True): 1}
+
+
 def test_recall_of_layout():
     for n in (10, 10_000, 10**7):
         keys, tables = neardup.layout(n)
