@@ -255,6 +255,7 @@ def exchange_link(centers: DataFrame, steps: DataFrame, rules: Rules | None = No
     kind = steps.schema["t"].dataType.simpleString()
     plan = centers.sparkSession.createDataFrame([(t, c, k) for c, (lo, hi) in enumerate(bounds) for k, t in enumerate(times[lo:hi])], f"t {kind}, chunk int, k int")
     c = plan.join(centers.select("t", "c_idx", "lat", "lon", "v"), "t", "left")
+    c = c.repartition(max(1, min(len(bounds), 10_000)), "chunk")  # few bytes, but much work: a task for each, about
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["k", "c_idx"], kind="stable")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..storage import written
+from ..storage import numbered, written
 
 LINK_KM = 500.0
 #: Latitude bands for candidate pairs are as wide as the search radius, so that pairs lie in neighbouring bands.
@@ -148,12 +148,12 @@ def link(centers: DataFrame, steps: DataFrame, within_km: float = LINK_KM, start
     order = [(r["t"], r["n"]) for r in steps.orderBy("t").select("t", "n").collect()]
     go = linkable_steps(order, start, end)
     kind = steps.schema["t"].dataType.simpleString()
-    numbered = centers.sparkSession.createDataFrame([(t, k, t in go) for k, (t, _) in enumerate(order)], f"t {kind}, step long, go boolean")
+    places = centers.sparkSession.createDataFrame([(t, k, t in go) for k, (t, _) in enumerate(order)], f"t {kind}, step long, go boolean")
     names = [x for x in centers.columns if x not in ("t", "step")]
-    c = c.select("t", *names).join(F.broadcast(numbered), "t")  # one row a step
+    c = c.select("t", *names).join(F.broadcast(places), "t")  # one row a step
     c = c.withColumn("cid", F.shiftleft(F.col("step"), 32) + F.col("c_idx"))
-    pairs = step_pairs(c, within_km).join(F.broadcast(numbered.where("go").select("step")), "step", "left_semi")
+    pairs = step_pairs(c, within_km).join(F.broadcast(places.where("go").select("step")), "step", "left_semi")
     chain = written(label_chains(c.select("cid", F.col("step").alias("at")), match(pairs)), "chains")
     c = c.join(chain, "cid")
-    first = c.where("cid = root").select("root", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("step", "lat", "lon", "c_idx")).cast("long").alias("track_id"))
+    first = numbered(c.where("cid = root").select("root", F.col("step").alias("_s"), "lat", "lon", "c_idx"), ["_s", "lat", "lon", "c_idx"], "track_id").select("root", "track_id")
     return c.join(first, "root").select("track_id", F.row_number().over(Window.partitionBy("track_id").orderBy("step")).alias("step"), "t", *names)

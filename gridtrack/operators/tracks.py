@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import arc_km, haversine_km, lon_gap
-from ..storage import written
+from ..storage import numbered, written
 
 
 def by_track():
@@ -56,15 +56,15 @@ def number_steps(points: DataFrame) -> DataFrame:
 def sort_tracks(points: DataFrame) -> DataFrame:
     """``rank``: the order of tracks by their first point's time, latitude, longitude; points follow within it."""
     first = points.groupBy("track_id").agg(F.min(F.struct("us", "pos", "lat", "lon")).alias("f"))
-    order = Window.partitionBy(F.lit(0)).orderBy("f.us", "f.lat", "f.lon", "track_id")  # one row a track
-    ranked = first.select("track_id", F.row_number().over(order).alias("rank"))
+    first = first.select("track_id", F.col("f.us").alias("_us"), F.col("f.lat").alias("_lat"), F.col("f.lon").alias("_lon"))
+    ranked = numbered(first, ["_us", "_lat", "_lon", "track_id"], "rank").select("track_id", F.col("rank").cast("int").alias("rank"))
     return number_steps(points).join(ranked, "track_id")
 
 
 def min_lifetime(points: DataFrame, least: int) -> DataFrame:
     """Tracks of ``least`` or more points, numbered again from 1 in order of their ids."""
     keep = points.groupBy("track_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    keep = keep.select("track_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("track_id")).cast("long").alias("new_id"))
+    keep = numbered(keep.select("track_id"), ["track_id"], "new_id")
     return points.join(keep, "track_id")
 
 
@@ -129,8 +129,7 @@ def splice(chunks: DataFrame, tolerance: float = 1e-5, overlap_aware: bool = Tru
     nodes = chunks.select(code(F.col("chunk"), "track_id").alias("cid"), F.col("chunk").cast("long").alias("at")).distinct()
     root = label_chains(nodes, edges)
     joined = chunks.withColumn("cid", code(F.col("chunk"), "track_id")).join(root, "cid")
-    order = Window.partitionBy(F.lit(0)).orderBy("root")
-    ids = joined.select("root").distinct().select("root", F.row_number().over(order).cast("long").alias("new_id"))
+    ids = numbered(joined.select("root").distinct(), ["root"], "new_id")
     out = joined.join(ids, "root").select(F.col("new_id").alias("track_id"), "t", "lat", "lon", "v")
     return out.dropDuplicates(["track_id", "t"]) if overlap_aware else out
 
