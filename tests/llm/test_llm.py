@@ -541,6 +541,15 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge_urls(df, none).collect()} == {"allow"}
 
 
+def test_very_long_urls_and_repeated_rules(spark):
+    deep, path = ".".join(["a"] * 300) + ".example.com", "/en/" + "x" * 60_000
+    rows = [(1, f"http://{deep}{path}", "v"), (2, "http://" + "b" * 70_000, "v"), (None, f"http://example.com{path}?q", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = urls.judge_urls(df, urls.rules_frame(spark, urls.RULES * 2))
+    want = {(1, deep, path, "example.com/en/", "block"): 1, (2, "b" * 70_000, "", None, "allow"): 1, (None, "example.com", path, "example.com/en/", "block"): 1}
+    assert count_of(got, "page_id", "host", "path", "rule", "verdict") == want
+
+
 def test_urls_by_brute_force(spark):
     rng = np.random.default_rng(0)
     hosts = [".".join(rng.choice(["a", "b", "com", "a-b", "a0"], int(rng.integers(1, 5)))) for _ in range(60)]
