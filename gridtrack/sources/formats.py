@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import lon180, lon360
 from ..operators import tracks as T
-from ..storage import written
+from ..storage import numbered, written
 
 SCALE = {"msl": 0.01, "vo": 1e5}
 HEADER = "99 00,CycloneNo,StepNo,DateI10,Year,Month,Day,Time,LongE,LatN,"
@@ -18,8 +18,7 @@ HEADER = "99 00,CycloneNo,StepNo,DateI10,Year,Month,Day,Time,LongE,LatN,"
 
 def _ordered(points: DataFrame) -> DataFrame:
     """Points with ``no``, the track's number from 1 in order of ids, ``n`` and ``step``."""
-    ids = points.groupBy("track_id").agg(F.count("*").alias("n"))
-    ids = ids.withColumn("no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("track_id")))  # one row a track
+    ids = numbered(points.groupBy("track_id").agg(F.count("*").alias("n")), ["track_id"], "no").withColumn("no", F.col("no").cast("int"))
     return T.number_steps(points).join(ids, "track_id")
 
 
