@@ -505,3 +505,26 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(tune(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), g AS (
+  SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM w
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, shingle FROM g WHERE i <= greatest(n - 4, 1)
+), c AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  JOIN c p ON p.doc_id = x.doc_id JOIN c q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), r(id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id AND r.c < e.b
+)
+SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+FROM d JOIN r ON r.id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -11,5 +11,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_embedding_near_dedup": neardup.OP3_SQL, "op4_exact_top_k": topk.OP4_SQL, "op7_line_dedup": lines.OP7_SQL, "op9_url_filters": urls.OP9_SQL,
+    "op3_embedding_near_dedup": neardup.OP3_SQL, "op4_exact_top_k": topk.OP4_SQL, "op5_jaccard_join": jaccard.OP5_SQL,
+    "op7_line_dedup": lines.OP7_SQL, "op9_url_filters": urls.OP9_SQL,
 }

@@ -712,7 +712,7 @@ def test_pipeline_without_languages(spark):
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op3_embedding_near_dedup", "op4_exact_top_k", "op7_line_dedup", "op9_url_filters"])
+@pytest.mark.parametrize("name", ["op3_embedding_near_dedup", "op4_exact_top_k", "op5_jaccard_join", "op7_line_dedup", "op9_url_filters"])
 def test_query_is_its_sql(spark, name):
     import duckdb
 
