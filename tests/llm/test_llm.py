@@ -565,6 +565,25 @@ def test_urls_by_brute_force(spark):
         assert got[k] == ((best[0] + best[1], best[2]) if best else (None, "allow"))
 
 
+def test_urls_of_a_hot_host_over_many_ranges(spark, monkeypatch):
+    """Two thirds of the pages on one host with many nested rules: ranges begin inside a host, a path and a rule."""
+    monkeypatch.setattr(urls, "RUN", 3)
+    rules = [("net", "/", "allow"), ("hot.net", "", "block"), ("HOT.net", "", "allow"), ("", "/", "block"), ("net/", "/", "block"), ("cold.org", "/a", "block")]
+    rules += [("hot.net", "/" + "a" * k, "block" if k % 2 else "allow") for k in range(0, 40, 3)] + [("hot.net", f"/b{k}", "block") for k in range(200)]
+    pages = [(k, f"http://hot.net/{'a' * (k % 50)}") for k in range(300)] + [(k, f"http://www.hot.net/b{k}/x") for k in range(300, 600)]
+    pages += [(k, u) for k, u in enumerate(["http://cold.org/ab", "http://org/a", "http://net", "http://a.net/?/b1", "x"] * 50, 600)] + [(7, "http://hot.net/b1")] * 10
+    kept = {(h.lower(), p): min(v for g, q, v in rules if (g.lower(), q) == (h.lower(), p)) for h, p, _ in rules if h and "/" not in h}
+    want = collections.Counter()
+    for k, u in pages:
+        host, slash, path = u[7:].partition("/")
+        path = (slash + path).partition("?")[0]
+        host = host.partition("?")[0]
+        fit = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in kept.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[k, host, path, *(max(fit)[2:] if fit else (None, "allow"))] += 1
+    got = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), urls.rules_frame(spark, rules))
+    assert count_of(got, "page_id", "host", "path", "rule", "verdict") == want
+
+
 # 10
 
 
