@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Words in a block, least blocks in an output shard, most output shards, documents in a packing bucket.
 BLOCK, SLOTS, SHARDS, BUCKET = 128, 4096, 8192, 2000
+#: Most (output shard, source) pairs, which the driver lists; most sources that every task gets.
+RANGES, NAMED = 1_000_000, 100_000
+#: Repeated rows that are packed and cut together.
+COPIES = 100
 SEED = 20240229
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -101,24 +105,29 @@ class Mix:
     packed into blocks of ``block`` words regardless of document ends. Output slots of a source are numbered over all
     shards; slot i takes, in pass i // blocks, the block that this pass's permutation gives for i % blocks. So a block
     is taken at most ``most`` times and all blocks equally often but for one pass. Everything follows from the rows
-    and ``seed``: reruns agree. A null source is a source, last in order. Repeated rows are packed as separate rows.
-    An empty table gives an empty mix. Only the table of sources (one row each) is on the driver.
+    and ``seed``: reruns agree. A null source is a source, last in order. Repeated rows are packed as separate rows,
+    ``COPIES`` of them together. An empty table gives an empty mix. On the driver are the table of sources (one row
+    each) and at most ``RANGES`` pairs of an output shard and a source, or one shard's.
     """
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, seed=SEED, doc_id="doc_id", text="text", source="source"):
         spark, self.block, self.docs, self.text = docs.sparkSession, block, docs, text
         self.key = row_key(docs)
         sized = docs.select(F.col(doc_id).alias("doc_id"), self.key.alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-        self.sized = materialize(sized, "sizes")
-        found = {r["source"]: (r["w"] or 0, r["n"]) for r in self.sized.groupBy("source").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()}
+        # equal rows are counted, then dealt in runs, so that no bucket and no cut document holds all copies of a row
+        sized = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+        sized = sized.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+        self.sized = materialize(sized.withColumn("copies", F.least(F.lit(COPIES), F.col("n") - F.col("run") * COPIES)).drop("n"), "sizes")
+        by_source = self.sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("w"), F.sum("copies").alias("n"))
+        found = {r["source"]: (r["w"] or 0, r["n"]) for r in by_source.collect()}
         order = sorted(found, key=lambda s: (s is None, s or ""))
         sizes, rows = [found[s][0] for s in order], sum(n for _, n in found.values())
         goal = targets(sizes, weights, share, most)
         blocks = [-(-w // block) for w in sizes]
         slots = np.array([round(t * b / w) if w else 0 for t, b, w in zip(goal, blocks, sizes, strict=True)], np.int64)
         total = int(slots.sum())
-        shards = min(SHARDS, -(-total // SLOTS))
-        ranges, first = [], np.zeros_like(slots)
+        shards = min(SHARDS, -(-total // SLOTS), max(1, RANGES // max(1, len(order))))
+        self.named, ranges, first = len(order), [], np.zeros_like(slots)
         for k, got in enumerate(shard_draws(slots, shards, seed)):
             ranges += [(k, int(s), blocks[s], int(first[s]), int(got[s]), seed) for s in got.nonzero()[0]]
             first += got
@@ -131,12 +140,15 @@ class Mix:
     def _pack(self, buckets: int) -> DataFrame:
         """Every document with its source and the position of its first word in the source, by two prefix sums."""
         named = self.sources.select("src", "source_size", "target", F.col("source").alias("_s"))
-        s = self.sized.join(F.broadcast(named), self.sized["source"].eqNullSafe(named["_s"])).drop("_s", "source")  # one row per source
-        s = s.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
+        if self.named <= NAMED:  # one row per source; more are joined by source, where adaptive execution splits a hot one
+            named = F.broadcast(named)
+        s = self.sized.join(named, self.sized["source"].eqNullSafe(named["_s"])).drop("_s", "source")
+        s = s.withColumn("bucket", F.pmod(F.when(F.col("run") == 0, F.col("key")).otherwise(F.xxhash64("key", "run")), F.lit(buckets)))
+        s = s.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
         sums = s.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("src", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "key")
+        inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "key", "run")
         s = s.withColumn("ord", F.row_number().over(inside)).withColumn("inner", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         return s.join(sums, ["src", "bucket"]).withColumn("off", F.col("base") + F.col("inner")).drop("base", "inner")
 
@@ -163,7 +175,7 @@ class Mix:
         names = self.docs.columns
         key, spans = fresh(names, "_key", "_spans")
         hit = self.pieces().where("block is not null").join(self.slots.select("src", "turn", "block"), ["src", "block"])
-        hit = hit.groupBy("key").agg(F.collect_list(F.struct("bucket", "ord", "turn", "lo", "hi", "size")).alias(spans)).withColumnRenamed("key", key)
+        hit = hit.groupBy("key", "run").agg(F.collect_list(F.struct("bucket", "ord", "turn", "lo", "hi", "size")).alias(spans)).select(F.col("key").alias(key), spans)
         rows = self.docs.withColumn(key, self.key).dropDuplicates([key])  # equal rows come back by their own spans
         at, text = names.index(self.text), self.text
 

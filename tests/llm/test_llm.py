@@ -121,6 +121,31 @@ def test_mix_documents_holds_the_words_taken(docs):
     assert got == +want
 
 
+def test_mix_of_repeated_rows_and_many_sources(spark, monkeypatch):
+    """A row repeated 350 times fills several runs; sources beyond the bounds are joined and share one shard."""
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    monkeypatch.setattr(mixing, "NAMED", 2)
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    many = [(1, "one two three four five", "en", "a", 23)] * 350 + [(k, f"w{k} x y", "en", "bcd"[k % 3], 6) for k in range(2, 100)] + [(None, None, None, None, None)] * 250
+    df = spark.createDataFrame(many, "doc_id long, text string, lang string, source string, n_chars long")
+    mix = mixing.Mix(df, block=16)
+    got = [r.asDict() for r in mix.taken().collect()]
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len((r[1] or "").split())) for r in many)
+    assert mix.packed.groupBy("src", "bucket", "key", "run").count().agg({"count": "max"}).first()[0] <= mixing.COPIES
+    taken, source = collections.Counter(), {r[0]: r[3] for r in many}
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]], r["target"]] += r["taken"]
+    assert all(abs(t - goal) <= 32 for (_, goal), t in taken.items()), taken
+    want = collections.Counter()
+    for r in got:
+        want[r["doc_id"]] += r["taken"]
+    out = collections.Counter()
+    for r in mix.documents(n_chars="n_chars").collect():
+        out[r["doc_id"]] += len(r["text"].split())
+    assert out == +want
+
+
 def test_mix_of_nothing(docs):
     assert mixing.Mix(docs.where("false")).taken().count() == 0
     assert mixing.Mix(docs.where("text is null")).taken().first()["taken"] == 0
