@@ -85,17 +85,18 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each output slot of a (shard, source) range: its pass over the source and the block it takes in that pass."""
+    """Each output slot of a shard's ranges: its pass over the source and the block it takes in that pass."""
     with np.errstate(over="ignore"):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                for at in range(r.first, r.first + r.n, 100_000):
-                    i = np.arange(at, min(at + 100_000, r.first + r.n), dtype=np.int64)
-                    turn, block = i // r.blocks, np.empty_like(i)
-                    for e in np.unique(turn):
-                        here = turn == e
-                        block[here] = permute(i[here] - e * r.blocks, r.blocks, (r.seed * 1_000_003 + r.src) * 1_000_003 + int(e))
-                    yield pd.DataFrame({"shard": r.shard, "src": r.src, "turn": turn, "block": block})
+                for src, blocks, first, n in np.frombuffer(r.ranges, "<i8").reshape(-1, 4).tolist():
+                    for at in range(first, first + n, 100_000):
+                        i = np.arange(at, min(at + 100_000, first + n), dtype=np.int64)
+                        turn, block = i // blocks, np.empty_like(i)
+                        for e in np.unique(turn):
+                            here = turn == e
+                            block[here] = permute(i[here] - e * blocks, blocks, (r.seed * 1_000_003 + src) * 1_000_003 + int(e))
+                        yield pd.DataFrame({"shard": r.shard, "src": src, "turn": turn, "block": block})
 
 
 class Mix:
@@ -107,7 +108,10 @@ class Mix:
     is taken at most ``most`` times and all blocks equally often but for one pass. Everything follows from the rows
     and ``seed``: reruns agree. A null source is a source, last in order. Repeated rows are packed as separate rows,
     ``COPIES`` of them together. An empty table gives an empty mix. On the driver are the table of sources (one row
-    each) and at most ``RANGES`` pairs of an output shard and a source, or one shard's.
+    each) and at most ``RANGES`` pairs of an output shard and a source, or one shard's, of 32 bytes each.
+
+    Slots and pieces are far more than the ranges and documents by which Spark judges their size, so joins with them are
+    merged: else they are broadcast through the driver.
     """
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, seed=SEED, doc_id="doc_id", text="text", source="source"):
@@ -127,12 +131,13 @@ class Mix:
         slots = np.array([round(t * b / w) if w else 0 for t, b, w in zip(goal, blocks, sizes, strict=True)], np.int64)
         total = int(slots.sum())
         shards = min(SHARDS, -(-total // SLOTS), max(1, RANGES // max(1, len(order))))
-        self.named, ranges, first = len(order), [], np.zeros_like(slots)
+        self.named, ranges, first, sizes_in_blocks = len(order), [], np.zeros_like(slots), np.array(blocks, np.int64)
         for k, got in enumerate(shard_draws(slots, shards, seed)):
-            ranges += [(k, int(s), blocks[s], int(first[s]), int(got[s]), seed) for s in got.nonzero()[0]]
+            s = got.nonzero()[0]
+            ranges.append((k, seed, np.stack([s, sizes_in_blocks[s], first[s], got[s]], 1).astype("<i8").tobytes()))
             first += got
         self.sources = spark.createDataFrame(list(zip(range(len(order)), order, sizes, goal, strict=True)), "src long, source string, source_size long, target double")
-        ranges = spark.createDataFrame(ranges, "shard long, src long, blocks long, first long, n long, seed long").repartition(max(1, min(shards, 1000)))
+        ranges = spark.createDataFrame(ranges, "shard long, seed long, ranges binary").repartition(max(1, min(shards, 1000)))
         #: (shard, src, turn, block): the mix, one row per output slot
         self.slots = ranges.mapInPandas(lean(_slots), "shard long, src long, turn long, block long")
         self.packed = self._pack(max(1, rows // BUCKET))
@@ -162,7 +167,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: doc_id, size, source_size, target, taken."""
         times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-        hit = self.pieces().join(times, ["src", "block"], "left")
+        hit = self.pieces().join(times.hint("merge"), ["src", "block"], "left")
         words = F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0))
         return hit.groupBy("src", "bucket", "ord", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("bigint").alias("taken")).drop("src", "bucket", "ord")
 
@@ -174,7 +179,7 @@ class Mix:
         """
         names = self.docs.columns
         key, spans = fresh(names, "_key", "_spans")
-        hit = self.pieces().where("block is not null").join(self.slots.select("src", "turn", "block"), ["src", "block"])
+        hit = self.pieces().where("block is not null").join(self.slots.select("src", "turn", "block").hint("merge"), ["src", "block"])
         hit = hit.groupBy("key", "run").agg(F.collect_list(F.struct("bucket", "ord", "turn", "lo", "hi", "size")).alias(spans)).select(F.col("key").alias(key), spans)
         rows = self.docs.withColumn(key, self.key).dropDuplicates([key])  # equal rows come back by their own spans
         at, text = names.index(self.text), self.text
@@ -205,7 +210,7 @@ class Mix:
                         out.append((*row[:at], part, *row[at + 1 :]))
                 yield pd.DataFrame(out, columns=names, dtype=object) if out else pd.DataFrame(columns=names)
 
-        mixed = rows.join(hit, key).drop(key).mapInPandas(lean(cut), self.docs.schema)
+        mixed = rows.join(hit.hint("merge"), key).drop(key).mapInPandas(lean(cut), self.docs.schema)
         return mixed.withColumn(n_chars, F.length(text).cast(self.docs.schema[n_chars].dataType)) if n_chars else mixed
 
 

@@ -146,6 +146,21 @@ def test_mix_of_repeated_rows_and_many_sources(spark, monkeypatch):
     assert out == +want
 
 
+def test_mix_broadcasts_no_slots_or_pieces(docs):
+    """Few ranges make many slots, and few documents many pieces: by the size of the former Spark would broadcast the latter."""
+    mix = mixing.Mix(docs, block=2)
+    for df in (mix.taken(), mix.documents()):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan
+        lines_ = plan.partition("== Initial Plan ==")[0].splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines_]
+        for k, x in enumerate(lines_):
+            if "BroadcastExchange" in x:
+                below = next((j for j in range(k + 1, len(lines_)) if depth[j] <= depth[k]), len(lines_))
+                assert not any("MapInPandas" in y or "ObjectHashAggregate" in y or "SortAggregate" in y for y in lines_[k:below]), "\n".join(lines_[k:below])
+
+
 def test_mix_of_nothing(docs):
     assert mixing.Mix(docs.where("false")).taken().count() == 0
     assert mixing.Mix(docs.where("text is null")).taken().first()["taken"] == 0
